@@ -1,0 +1,110 @@
+"""Run ``queries()`` against ``oracle_sql()`` in DuckDB and compare results.
+
+Comparison is order-insensitive and exact: columns sorted by name, every
+value normalised to text (floats by ``repr``), rows sorted.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import math
+import sys
+import time
+
+import duckdb
+
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return "<null>"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "<null>"
+        return repr(float(v))
+    if isinstance(v, decimal.Decimal):
+        return repr(float(v))
+    if isinstance(v, dt.datetime):
+        return v.strftime("%Y-%m-%d %H:%M:%S")
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    return str(v)
+
+
+def rows_of_spark(df):
+    cols = sorted(df.columns)
+    return cols, sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
+
+
+def rows_of_duck(con, sql):
+    rel = con.sql(sql)
+    names = rel.columns
+    data = rel.fetchall()
+    cols = sorted(names)
+    idx = [names.index(c) for c in cols]
+    return cols, sorted(tuple(_norm(r[i]) for i in idx) for r in data)
+
+
+def compare(spark, con, key, fn, sql, sf_dir):
+    t0 = time.time()
+    sdf = fn(spark, sf_dir)
+    s_cols, s_rows = rows_of_spark(sdf)
+    t1 = time.time()
+    d_cols, d_rows = rows_of_duck(con, sql)
+    ok = s_cols == d_cols and s_rows == d_rows
+    detail = ""
+    if not ok:
+        if s_cols != d_cols:
+            detail = f"columns spark={s_cols} duck={d_cols}"
+        elif len(s_rows) != len(d_rows):
+            detail = f"rows spark={len(s_rows)} duck={len(d_rows)}"
+        else:
+            diff = [(a, b) for a, b in zip(s_rows, d_rows) if a != b][:3]
+            detail = f"first diffs {diff}"
+    return ok, len(s_rows), t1 - t0, detail
+
+
+def main(argv):
+    sys.path.insert(0, ".")
+    import __spark_entry__ as e
+    from kpiforge.session import build_session
+
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    only = set(argv[2:])
+    spark = build_session(shuffle_partitions=8)
+    con = duck(sf_dir)
+    qs, sqls = e.queries(), e.oracle_sql()
+    bad = 0
+    for key, fn in qs.items():
+        if only and key not in only:
+            continue
+        if key not in sqls:
+            print(f"{key:32s} NO-ORACLE")
+            continue
+        try:
+            ok, n, secs, detail = compare(spark, con, key, fn, sqls[key], sf_dir)
+        except Exception as exc:  # report and continue
+            ok, n, secs, detail = False, -1, 0.0, f"{type(exc).__name__}: {str(exc)[:400]}"
+        bad += not ok
+        print(f"{key:32s} {'OK ' if ok else 'BAD'} rows={n:<7d} {secs:6.2f}s {detail}", flush=True)
+    print(f"mismatches: {bad}")
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv) else 0)
