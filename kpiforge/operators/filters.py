@@ -98,8 +98,18 @@ def filter_domains(df: DataFrame, columns: Sequence[str] = DOMAIN_COLUMNS) -> Da
         "position",
         F.row_number().over(Window.partitionBy("column_name").orderBy("value")) + 1,
     )
-    spark = df.sparkSession
-    all_rows = spark.createDataFrame(
-        [(c, 1, ALL) for c in columns], "column_name string, position int, value string"
+    all_rows = df.sparkSession.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_name"),
+                        F.lit(1).alias("position"),
+                        F.lit(ALL).alias("value"),
+                    )
+                    for c in columns
+                ]
+            )
+        )
     )
     return all_rows.unionByName(ranked.select("column_name", "position", "value"))

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def size_checked_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True
+) -> DataFrame:
     """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
-    ``df`` is persisted first so the count and the join reuse one
-    computation.  Only ``max_rows + 1`` rows are counted.  Beyond the bound
-    the plain frame is returned and Spark plans a shuffle join (AQE's
-    skew-join splits hot keys on the large side).
+    Only ``max_rows + 1`` rows are counted (each task stops early).  With
+    ``persist`` (for small aggregates that are costly to recompute) the
+    count and the join share one computation; dimension scans are cheap to
+    re-read and are not persisted, so a large dimension is never cached.
+    Beyond the bound the plain frame is returned and Spark plans a shuffle
+    join (AQE's skew-join splits hot keys on the large side).
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -32,9 +32,10 @@ class FilterSpec:
 class OrderTables:
     """Raw orders and everything derived from them, built lazily.
 
-    ``materialized=True`` writes the clean table to the shared checkpoint
-    folder once (cutting the lineage, so later report queries read Parquet
-    files with filter pushdown instead of re-running fill and dedup).
+    ``materialized=True`` writes the de-duplicated table to the shared
+    checkpoint folder once (cutting the lineage): clean orders are a
+    filter on it, the issue log counts it, and report queries read Parquet
+    files with filter pushdown instead of re-running fill and dedup.
     """
 
     raw: DataFrame
@@ -53,14 +54,14 @@ class OrderTables:
 
     @cached_property
     def deduped(self) -> DataFrame:
-        return cleaning.dedup_orders(self.filled)
+        deduped = cleaning.dedup_orders(self.filled)
+        if self.materialized:
+            deduped = materialize(deduped, "deduped_orders")
+        return deduped
 
     @cached_property
     def clean(self) -> DataFrame:
-        clean = cleaning.drop_negative(self.deduped)
-        if self.materialized:
-            clean = materialize(clean, "clean_orders")
-        return clean
+        return cleaning.drop_negative(self.deduped)
 
     @cached_property
     def filtered(self) -> DataFrame:

@@ -34,6 +34,7 @@ def build_session(
         SparkSession.builder.master(master or f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cores)))
         .config("spark.sql.adaptive.enabled", "true")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiforge.operators.joins import size_checked_broadcast
+from kpiforge.operators.partitioning import spread
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA, RAW_REVENUE_TYPE
 
 
@@ -68,16 +70,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def conform_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ``orders`` (one row per line item) from the star-schema test tables.
 
-    Each dimension is projected to its key and the one attribute used
-    before joining, so broadcasts stay small.  The tiny geography chain
-    (nation -> region) is joined to customer first; Catalyst broadcasts
-    sides under ``autoBroadcastJoinThreshold`` (a size check on the file
-    statistics) and AQE converts joins whose runtime side turns out small,
-    everything else is a sort-merge join on the join key.
+    The fact table (``lineitem``) is always the streamed side.  The
+    dimensions are projected to key + attribute, pre-joined at the order
+    grain (orders -> customer -> nation -> region, a quarter of the fact's
+    rows), and each is broadcast only after a row-count check; beyond the
+    bound the join is a sort-merge join on its key.  At large scale that
+    is two shuffles of the fact (order key, part key) and none for the
+    fixed-size nation/region tables.
     """
-    li = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_linestatus",
+    li = spread(
+        _table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+            "l_extendedprice", "l_returnflag", "l_linestatus",
+        )
     )
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
@@ -87,15 +92,24 @@ def conform_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type")
 
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey", "r_name"
+    region_b = size_checked_broadcast(region, persist=False)
+    geo = size_checked_broadcast(
+        nation.join(region_b, nation.n_regionkey == region_b.r_regionkey).select(
+            "n_nationkey", "r_name"
+        ),
+        persist=False,
+    )
+    cust = size_checked_broadcast(
+        customer.join(geo, customer.c_nationkey == geo.n_nationkey).select("c_custkey", "r_name"),
+        persist=False,
     )
-    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey).select(
-        "c_custkey", "r_name"
+    order_dim = size_checked_broadcast(
+        orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey"),
+        persist=False,
     )
-    order_dim = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    part_b = size_checked_broadcast(part, persist=False)
     joined = li.join(order_dim, li.l_orderkey == order_dim.o_orderkey).join(
-        part, li.l_partkey == part.p_partkey
+        part_b, li.l_partkey == part_b.p_partkey
     )
 
     price = F.col("l_extendedprice").cast(RAW_REVENUE_TYPE)

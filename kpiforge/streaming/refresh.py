@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kpiforge.plans.tables import OrderTables
 from kpiforge.plans.views import build_views
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA
-from kpiforge.session import ensure_checkpoint_dir, materialize, scratch_path
+from kpiforge.session import ensure_checkpoint_dir, scratch_path
 
 
 def refresh_tables(spark: SparkSession, store: str, out: str, as_of=None) -> dict[str, str]:
@@ -37,8 +37,8 @@ def refresh_tables(spark: SparkSession, store: str, out: str, as_of=None) -> dic
     """
     spark.catalog.refreshByPath(store)
     raw = spark.read.parquet(store).select(*ORDER_COLUMNS)
-    t = OrderTables(raw, as_of=as_of)
-    clean = materialize(t.clean, "refresh_clean")
+    t = OrderTables(raw, as_of=as_of, materialized=True)
+    clean = t.clean
     paths = {}
     for name, df in build_views(raw, clean, as_of).items():
         path = f"{out}/{name}"
