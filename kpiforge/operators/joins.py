@@ -27,3 +27,21 @@ def size_checked_broadcast(
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows (counts at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    """``broadcast(df)`` when a prior size check said it is small."""
+    return F.broadcast(df) if small else df
+
+
+def fits_broadcast_all(frames: dict[str, DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, bool]:
+    """Size checks of several frames in one Spark job (one row of counts)."""
+    from kpiforge.operators.stats import named_counts
+
+    row = named_counts([(df, {name: F.count(F.lit(1))}) for name, df in frames.items()]).first()
+    return {name: row[name] <= max_rows for name in frames}

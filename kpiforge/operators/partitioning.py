@@ -11,8 +11,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A Parquet file with a single row group is one split, so everything
     pipelined after the scan runs in one task.  Large inputs already have
     at least one split per core and are returned unchanged (no shuffle).
+    Rows are hashed on all columns: deterministic on retry without the
+    sort a round-robin repartition needs, and no single key value can
+    pile up in one partition.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    return df.repartition(target, *df.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.operators.joins import size_checked_broadcast
+from kpiforge.operators.joins import broadcast_if, fits_broadcast_all
 from kpiforge.operators.partitioning import spread
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA, RAW_REVENUE_TYPE
 
@@ -63,8 +63,20 @@ def check_schema(df: DataFrame) -> None:
             raise ValueError(f"column {field.name}: expected {field.dataType}, got {got}")
 
 
+# Declared schemas of the star-schema columns used (no footer inference).
+STAR_COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_type string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(STAR_COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def conform_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +85,11 @@ def conform_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     The fact table (``lineitem``) is always the streamed side.  The
     dimensions are projected to key + attribute, pre-joined at the order
     grain (orders -> customer -> nation -> region, a quarter of the fact's
-    rows), and each is broadcast only after a row-count check; beyond the
-    bound the join is a sort-merge join on its key.  At large scale that
-    is two shuffles of the fact (order key, part key) and none for the
-    fixed-size nation/region tables.
+    rows), and each is broadcast only after a row-count check of its base
+    table (all five counted in one job); beyond the bound the join is a
+    sort-merge join on its key.  At large scale that is two shuffles of the
+    fact (order key, part key) and none for the fixed-size nation/region
+    tables.
     """
     li = spread(
         _table(spark, sf_dir, "lineitem").select(
@@ -92,25 +105,24 @@ def conform_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type")
 
-    region_b = size_checked_broadcast(region, persist=False)
-    geo = size_checked_broadcast(
-        nation.join(region_b, nation.n_regionkey == region_b.r_regionkey).select(
-            "n_nationkey", "r_name"
-        ),
-        persist=False,
-    )
-    cust = size_checked_broadcast(
-        customer.join(geo, customer.c_nationkey == geo.n_nationkey).select("c_custkey", "r_name"),
-        persist=False,
-    )
-    order_dim = size_checked_broadcast(
-        orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey"),
-        persist=False,
-    )
-    part_b = size_checked_broadcast(part, persist=False)
-    joined = li.join(order_dim, li.l_orderkey == order_dim.o_orderkey).join(
-        part_b, li.l_partkey == part_b.p_partkey
+    # Size checks on the base dimensions (plain scans, cheap counts).  A
+    # joined dimension has at most as many rows as its driving table,
+    # because every join below is on the other table's primary key.
+    small = fits_broadcast_all(
+        {"region": region, "nation": nation, "customer": customer, "orders": orders, "part": part}
     )
+    geo = nation.join(
+        broadcast_if(region, small["region"]), nation.n_regionkey == region.r_regionkey
+    ).select("n_nationkey", "r_name")
+    cust = customer.join(
+        broadcast_if(geo, small["nation"]), customer.c_nationkey == geo.n_nationkey
+    ).select("c_custkey", "r_name")
+    order_dim = orders.join(
+        broadcast_if(cust, small["customer"]), orders.o_custkey == cust.c_custkey
+    ).drop("c_custkey")
+    joined = li.join(
+        broadcast_if(order_dim, small["orders"]), li.l_orderkey == order_dim.o_orderkey
+    ).join(broadcast_if(part, small["part"]), li.l_partkey == part.p_partkey)
 
     price = F.col("l_extendedprice").cast(RAW_REVENUE_TYPE)
     return joined.select(
