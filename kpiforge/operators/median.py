@@ -2,42 +2,57 @@
 
 Spark's ``median`` merges every distinct value of a group in one task,
 which does not hold when one group carries a third of a huge table.  Here
-the median is found by distributed selection:
-
-1. One partial aggregate gives, per group, the count ``n``, min and max.
-   The median is the mean of the values at 0-based ranks
-   ``(n - 1) div 2`` and ``n div 2``.
-2. While a group's candidate window ``[lo, hi]`` still holds more than
-   ``max_group_rows`` values, a mergeable quantile sketch
-   (``percentile_approx``, bounded memory, partially aggregated) over that
-   window gives a grid of values; the grid cells around the target ranks
-   become the new window, and its exact counts (values below, values
-   inside) are verified with a second partial aggregate.  Each round
-   shrinks the window about ``grid / 4`` times.
-3. The at most ``max_group_rows`` values left per group are ranked with a
-   window function and the two middle values are averaged.
-
-Only per-group summaries (one row per group) are joined back, broadcast
-after a size check.  The result is exact; the sketch only steers.
+the median is found by distributed selection over a value histogram:
+
+1. ``hist``: count per (group, value), a partially aggregated group-by
+   hashed on both columns, so a hot group spreads over all tasks and
+   repeated values collapse to one row.  Per group: ``n`` values and
+   ``ndv`` distinct values; the median is the mean of the values at
+   0-based ranks ``(n - 1) div 2`` and ``n div 2``.
+2. While a group's candidate value window ``[lo, hi)`` holds more than
+   ``max_group_rows`` distinct values, a mergeable quantile sketch
+   (``percentile_approx``, bounded memory) over the window's distinct
+   values gives ``grid`` cut points.  Exact counts per bucket (one partial
+   aggregate) locate the buckets holding the two target ranks; they become
+   the new window.  Each round divides the distinct values by about
+   ``grid / 2``; the counts are exact, the sketch only steers.
+3. The at most ``max_group_rows`` distinct values left per group are
+   ranked with a running sum of their counts (a window function) and the
+   two middle values are averaged.
+
+Per-group state (one row per group) is joined back after a size check
+and written to the shared checkpoint folder after each round, so the
+lineage stays short.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.operators.joins import size_checked_broadcast
+from kpiforge.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000
-GRID = 1000
-ACCURACY = 10 * GRID
-MARGIN = 2
-MAX_ROUNDS = 32
+GRID = 200
+MAX_ROUNDS = 64
+
+
+def _nullsafe(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, left["_k"].eqNullSafe(right["_sk"]))
+
 
+def _in_window() -> Column:
+    lo_ok = F.col("lo").isNull() | (F.col("_v") >= F.col("lo"))
+    hi_ok = F.col("hi").isNull() | (F.col("_v") < F.col("hi"))
+    return lo_ok & hi_ok
+
+
+def _covers(rank: str) -> Column:
+    """Bucket/value row whose rank range ``[first, cum)`` contains ``rank``."""
+    return (F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_cum"))
 
-def _nullsafe(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    return left.join(right, left["_k"].eqNullSafe(right["_sk"]), how)
 
 
 def group_median(
@@ -54,100 +69,112 @@ def group_median(
     Missing values are ignored; a group with no value gets NULL.  A NULL key
     is a group of its own, as in SQL ``GROUP BY``.
     """
-    accuracy = accuracy or 10 * grid
-    vals = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
-    present = vals.where(F.col("_v").isNotNull())
-
+    accuracy = accuracy or 20 * grid
+    hist = (
+        df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+        .groupBy("_k", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    values = hist.where(F.col("_v").isNotNull())
     state = (
-        vals.groupBy("_k")
+        hist.groupBy("_k")
         .agg(
-            F.count("_v").alias("n"),
-            F.min("_v").alias("lo"),
-            F.max("_v").alias("hi"),
+            F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)).alias("n"),
+            F.count("_v").alias("ndv"),
         )
         .select(
             F.col("_k").alias("_sk"),
             "n",
             F.expr("(n - 1) div 2").alias("r1"),
             F.expr("n div 2").alias("r2"),
-            "lo",
-            "hi",
+            F.lit(None).cast("double").alias("lo"),
+            F.lit(None).cast("double").alias("hi"),
             F.lit(0).cast("long").alias("below"),
-            F.col("n").alias("inwin"),
+            "ndv",
         )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     quantiles = [i / grid for i in range(grid + 1)]
+    m = grid + 1
     for _ in range(MAX_ROUNDS):
-        wide = state.where(F.col("inwin") > max_group_rows)
+        wide = state.where(F.col("ndv") > max_group_rows)
         if wide.isEmpty():
             break
         wide_b = size_checked_broadcast(wide)
-        sketch = (
-            _nullsafe(present, wide_b)
-            .where(F.col("_v").between(F.col("lo"), F.col("hi")))
-            .groupBy("_k")
+        grids = (
+            _nullsafe(values, wide_b)
+            .where(_in_window())
+            .groupBy("_sk")
             .agg(F.percentile_approx("_v", quantiles, accuracy).alias("g"))
         )
-        # grid cells (1-based array positions) bracketing the target ranks
-        i_lo = F.greatest(
-            F.floor((F.col("r1") - F.col("below")) / F.col("inwin") * grid) - MARGIN, F.lit(0)
+        gw = grids.withColumnRenamed("_sk", "_gk")
+        gw = size_checked_broadcast(
+            wide.join(gw, wide["_sk"].eqNullSafe(gw["_gk"])).drop("_gk")
         )
-        i_hi = F.least(
-            F.ceil((F.col("r2") - F.col("below")) / F.col("inwin") * grid) + MARGIN, F.lit(grid)
+        # bucket j holds values in [g[j], g[j+1]) with g[0] = lo, g[m+1] = hi
+        buckets = (
+            _nullsafe(values, gw)
+            .where(_in_window())
+            .withColumn("_j", F.size(F.filter("g", lambda x: x <= F.col("_v"))))
+            .groupBy("_sk", "_j")
+            .agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_bd"))
         )
-        bounds = _nullsafe(sketch, wide_b).select(
-            F.col("_sk"),
-            F.element_at("g", (i_lo + 1).cast("int")).alias("nlo"),
-            F.element_at("g", (i_hi + 1).cast("int")).alias("nhi"),
+        upto = Window.partitionBy("_sk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+        located = (
+            buckets.withColumn("_cum_rows", F.sum("_bc").over(upto))
+            .withColumn("_cum_vals", F.sum("_bd").over(upto))
+            .withColumnRenamed("_sk", "_bk")
         )
-        bounds_b = size_checked_broadcast(bounds)
-        counts = (
-            _nullsafe(present, bounds_b)
-            .groupBy("_sk")
-            .agg(
-                F.first("nlo").alias("nlo"),
-                F.first("nhi").alias("nhi"),
-                F.count_if(F.col("_v") < F.col("nlo")).alias("nbelow"),
-                F.count_if(F.col("_v").between(F.col("nlo"), F.col("nhi"))).alias("ninwin"),
-            )
-            .withColumnRenamed("_sk", "_ck")
+        located = located.join(gw, located["_bk"].eqNullSafe(gw["_sk"])).select(
+            "_sk", "_j", "_bc", "_bd", "_cum_vals", "below", "r1", "r2", "lo", "hi", "g",
+            (F.col("below") + F.col("_cum_rows") - F.col("_bc")).alias("_first"),
+            (F.col("below") + F.col("_cum_rows")).alias("_cum"),
+        )
+        bucket_lo = F.when(F.col("_j") == 0, F.col("lo")).otherwise(F.element_at("g", F.col("_j")))
+        bucket_hi = F.when(F.col("_j") == m, F.col("hi")).otherwise(
+            F.element_at("g", F.col("_j") + 1)
         )
-        joined = state.join(counts, state["_sk"].eqNullSafe(counts["_ck"]), "left")
-        ok = (
-            F.col("_ck").isNotNull()
-            & (F.col("nbelow") <= F.col("r1"))
-            & (F.col("r2") < F.col("nbelow") + F.col("ninwin"))
+        moved = located.groupBy("_sk").agg(
+            F.max(F.when(_covers("r1"), bucket_lo)).alias("lo"),
+            F.max(F.when(_covers("r2"), bucket_hi)).alias("hi"),
+            F.max(F.when(_covers("r1"), F.col("_first"))).alias("below"),
+            (
+                F.max(F.when(_covers("r2"), F.col("_cum_vals")))
+                - F.max(F.when(_covers("r1"), F.col("_cum_vals") - F.col("_bd")))
+            ).alias("ndv"),
+        )
+        moved_b = size_checked_broadcast(
+            moved.withColumnRenamed("_sk", "_mk").withColumn("_moved", F.lit(True))
+        )
+        joined = state.join(moved_b, state["_sk"].eqNullSafe(moved_b["_mk"]), "left")
+        state = materialize(
+            joined.select(
+                "_sk", "n", "r1", "r2",
+                *[
+                    F.when(F.col("_moved"), moved_b[c]).otherwise(state[c]).alias(c)
+                    for c in ["lo", "hi", "below", "ndv"]
+                ],
+            ),
+            "median_state",
         )
-        if joined.where(F.col("_ck").isNotNull() & ~ok).limit(1).count():
-            raise RuntimeError("quantile sketch bounds failed verification")
-        new_state = joined.select(
-            "_sk", "n", "r1", "r2",
-            F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-            F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
-            F.when(ok, F.col("nbelow")).otherwise(F.col("below")).alias("below"),
-            F.when(ok, F.col("ninwin")).otherwise(F.col("inwin")).alias("inwin"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        new_state.count()
-        state = new_state
 
     final_b = size_checked_broadcast(state.where(F.col("n") > 0))
+    upto_v = Window.partitionBy("_sk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        _nullsafe(present, final_b)
-        .where(F.col("_v").between(F.col("lo"), F.col("hi")))
-        .withColumn(
-            "pos",
-            F.col("below") + F.row_number().over(Window.partitionBy("_k").orderBy("_v")) - 1,
-        )
-        .where((F.col("pos") == F.col("r1")) | (F.col("pos") == F.col("r2")))
-    )
-    picked = ranked.groupBy("_k").agg(
-        F.max(F.when(F.col("pos") == F.col("r1"), F.col("_v"))).alias("v1"),
-        F.max(F.when(F.col("pos") == F.col("r2"), F.col("_v"))).alias("v2"),
+        _nullsafe(values, final_b)
+        .where(_in_window())
+        .withColumn("_cum", F.col("below") + F.sum("_c").over(upto_v))
+        .withColumn("_first", F.col("_cum") - F.col("_c"))
+        .where(_covers("r1") | _covers("r2"))
     )
+    picked = ranked.groupBy("_sk").agg(
+        F.max(F.when(_covers("r1"), F.col("_v"))).alias("v1"),
+        F.max(F.when(_covers("r2"), F.col("_v"))).alias("v2"),
+    ).withColumnRenamed("_sk", "_pk")
     groups = state.select("_sk")
-    return groups.join(picked, groups["_sk"].eqNullSafe(picked["_k"]), "left").select(
+    return groups.join(picked, groups["_sk"].eqNullSafe(picked["_pk"]), "left").select(
         F.col("_sk").alias(key),
         ((F.col("v1") + F.col("v2")) / 2).alias("median"),
     )
