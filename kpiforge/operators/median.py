@@ -16,9 +16,12 @@ the median is found by distributed selection over a value histogram:
    aggregate) locate the buckets holding the two target ranks; they become
    the new window.  Each round divides the distinct values by about
    ``grid / 2``; the counts are exact, the sketch only steers.
-3. The at most ``max_group_rows`` distinct values left per group are
-   ranked with a running sum of their counts (a window function) and the
-   two middle values are averaged.
+3. When no group needed refinement, Spark's exact weighted
+   ``percentile(value, 0.5, count)`` over the histogram finishes the job
+   (its per-group map is bounded by ``max_group_rows``).  Otherwise the
+   at most ``max_group_rows`` distinct values left per group are ranked
+   with a running sum of their counts (a window function) and the two
+   middle values are averaged.
 
 Per-group state (one row per group) is joined back after a size check
 and written to the shared checkpoint folder after each round, so the
@@ -98,9 +101,10 @@ def group_median(
 
     quantiles = [i / grid for i in range(grid + 1)]
     m = grid + 1
-    for _ in range(MAX_ROUNDS):
+    rounds = 0
+    for rounds in range(MAX_ROUNDS + 1):
         wide = state.where(F.col("ndv") > max_group_rows)
-        if wide.isEmpty():
+        if rounds == MAX_ROUNDS or wide.isEmpty():
             break
         wide_b = size_checked_broadcast(wide)
         grids = (
@@ -160,8 +164,16 @@ def group_median(
             "median_state",
         )
 
+    if rounds == 0:
+        # every group has at most max_group_rows distinct values, so Spark's
+        # exact weighted percentile over the histogram holds a bounded map
+        # per group (partial maps per task, merged per group)
+        return hist.groupBy("_k").agg(
+            F.percentile("_v", F.lit(0.5), F.col("_c")).alias("median")
+        ).withColumnRenamed("_k", key)
+
     final_b = size_checked_broadcast(state.where(F.col("n") > 0))
-    upto_v = Window.partitionBy("_sk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto_v = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         _nullsafe(values, final_b)
         .where(_in_window())
@@ -169,12 +181,12 @@ def group_median(
         .withColumn("_first", F.col("_cum") - F.col("_c"))
         .where(_covers("r1") | _covers("r2"))
     )
-    picked = ranked.groupBy("_sk").agg(
+    picked = ranked.groupBy("_k").agg(
         F.max(F.when(_covers("r1"), F.col("_v"))).alias("v1"),
         F.max(F.when(_covers("r2"), F.col("_v"))).alias("v2"),
-    ).withColumnRenamed("_sk", "_pk")
+    )
     groups = state.select("_sk")
-    return groups.join(picked, groups["_sk"].eqNullSafe(picked["_pk"]), "left").select(
+    return groups.join(picked, groups["_sk"].eqNullSafe(picked["_k"]), "left").select(
         F.col("_sk").alias(key),
         ((F.col("v1") + F.col("v2")) / 2).alias("median"),
     )
