@@ -21,6 +21,7 @@ from kpiforge.plans.tables import FilterSpec, OrderTables
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
 from kpiforge.sinks.files import export_csv, read_exported_orders
 from kpiforge.sources.orders import conform_test_tables
+from kpiforge.streaming.incremental import refresh_incremental_once
 from kpiforge.streaming.refresh import refresh_once
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -88,9 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "issue_severity": _q(lambda t: cleaning.issue_severity(t.issues)),
         "null_profile": _q(lambda t: cleaning.null_profile(t.raw)),
         "null_profile_nonzero": _q(lambda t: cleaning.null_profile_nonzero(t.raw)),
-        "record_funnel": _q(
-            lambda t: cleaning.record_funnel(t.raw, t.deduped, t.clean, t.filtered)
-        ),
+        "record_funnel": _q(lambda t: t.funnel),
         # filters
         "filter_orders": _q(lambda t: _public(t.filtered)),
         "filter_noop": _q(lambda t: _public(NOOP_FILTER.apply(t.clean))),
@@ -130,9 +129,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refresh_category_performance": lambda spark, sf_dir: refresh_once(
             spark, _tables(spark, sf_dir).raw, as_of=AS_OF
         ),
+        # incremental refresh (watermark dedup, stream-static medians, HLL
+        # customers): first-arrival semantics, so no SQL oracle (rows-only)
+        "incremental_regional_sales": _incremental("vw_regional_sales"),
     }
 
 
+def _incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        return refresh_incremental_once(spark, t.raw, t.medians, as_of=AS_OF)[name]
+
+    return run
+
+
 # --------------------------------------------------------------------------------------
 # DuckDB oracle
 # --------------------------------------------------------------------------------------

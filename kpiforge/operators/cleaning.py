@@ -94,20 +94,33 @@ def future_flag(as_of=None) -> Column:
     return F.col("order_date") > as_of_literal(as_of)
 
 
-def issue_log(raw: DataFrame, deduped: DataFrame, clean: DataFrame, as_of=None) -> DataFrame:
+def _is_negative() -> Column:
+    return F.col("revenue") < 0
+
+
+def issue_log(raw: DataFrame, deduped: DataFrame, as_of=None) -> DataFrame:
     """``DataFrame[step, issue_type, issue_count, action]`` of the cleaning run.
 
     A row appears only when its count is non-zero, except the final
     ``Records After Cleaning`` row which is always there.  Duplicates are
     raw rows minus de-duplicated rows (NULL ids count as one value);
     negatives are counted after de-duplication; future dates on the clean
-    rows.
+    rows.  Clean rows are the de-duplicated rows without negatives, so
+    two scans (raw, de-duplicated) give every count.
     """
+    kept = ~_is_negative() | F.col("revenue").isNull()
     counts = named_counts(
         [
             (raw, {"raw_rows": F.count(F.lit(1)), "missing": F.count_if(F.col("revenue").isNull())}),
-            (deduped, {"dedup_rows": F.count(F.lit(1)), "negative": F.count_if(F.col("revenue") < 0)}),
-            (clean, {"clean_rows": F.count(F.lit(1)), "future": F.count_if(future_flag(as_of))}),
+            (
+                deduped,
+                {
+                    "dedup_rows": F.count(F.lit(1)),
+                    "negative": F.count_if(_is_negative()),
+                    "clean_rows": F.count_if(kept),
+                    "future": F.count_if(kept & future_flag(as_of)),
+                },
+            ),
         ]
     )
     lit = F.lit
@@ -164,20 +177,19 @@ def null_profile_nonzero(raw: DataFrame) -> DataFrame:
     return null_profile(raw).where(F.col("missing_count") > 0)
 
 
-def record_funnel(
-    raw: DataFrame, deduped: DataFrame, clean: DataFrame, filtered: DataFrame
-) -> DataFrame:
+def record_funnel(raw: DataFrame, deduped: DataFrame, report_filter: Column | None = None) -> DataFrame:
     """``DataFrame[stage_order, stage, records]``: counts at each stage.
 
     Computed, not constants: raw rows, de-duplicated rows, cleaned rows,
-    rows left after the report filters.
+    rows left after the report filters (``report_filter`` on clean rows).
+    Two scans: raw and de-duplicated.
     """
+    kept = ~_is_negative() | F.col("revenue").isNull()
+    shown = kept if report_filter is None else kept & report_filter
     one = named_counts(
         [
             (raw, {"s1": F.count(F.lit(1))}),
-            (deduped, {"s2": F.count(F.lit(1))}),
-            (clean, {"s3": F.count(F.lit(1))}),
-            (filtered, {"s4": F.count(F.lit(1))}),
+            (deduped, {"s2": F.count(F.lit(1)), "s3": F.count_if(kept), "s4": F.count_if(shown)}),
         ]
     )
     rows = [[F.lit(i + 1), F.lit(s), F.col(f"s{i + 1}")] for i, s in enumerate(FUNNEL_STAGES)]

@@ -49,16 +49,15 @@ def _and(preds: list[Column | None]) -> Column | None:
     return out
 
 
-def filter_orders(
-    df: DataFrame,
+def order_filter(
     date_from=None,
     date_to=None,
     categories: Sequence[str] | None = None,
     regions: Sequence[str] | None = None,
     statuses: Sequence[str] | None = None,
-) -> DataFrame:
-    """All given filters combined with AND; absent ones are skipped."""
-    pred = _and(
+) -> Column | None:
+    """The AND of all given filters as one predicate (``None``: no filter)."""
+    return _and(
         [
             date_range(date_from, date_to),
             in_list("category", categories),
@@ -66,6 +65,18 @@ def filter_orders(
             in_list("status", statuses),
         ]
     )
+
+
+def filter_orders(
+    df: DataFrame,
+    date_from=None,
+    date_to=None,
+    categories: Sequence[str] | None = None,
+    regions: Sequence[str] | None = None,
+    statuses: Sequence[str] | None = None,
+) -> DataFrame:
+    """All given filters combined with AND; absent ones are skipped."""
+    pred = order_filter(date_from, date_to, categories, regions, statuses)
     return df if pred is None else df.where(pred)
 
 

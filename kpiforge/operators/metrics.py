@@ -341,16 +341,22 @@ def category_region_pivot(df: DataFrame, regions: list[str] | None = None) -> Da
 TOP_COLUMNS = ["order_id", "order_date", "category", "region", "revenue", "quantity", "status"]
 
 
-def vw_top_orders(df: DataFrame, k: int = TOP_ORDERS_LIMIT) -> DataFrame:
-    """View: the ``k`` Completed orders with the highest revenue.
+def top_completed(df: DataFrame, k: int = TOP_ORDERS_LIMIT) -> DataFrame:
+    """The ``k`` Completed orders with the highest revenue (all columns).
 
     ``orderBy(...).limit(k)`` plans as ``TakeOrderedAndProject``: each task
-    keeps its own top ``k``, and only those reach the final merge.
+    keeps its own top ``k``, and only those reach the final merge.  Ties
+    are broken by ``order_id`` and then every other column.
     """
     order = [F.col("revenue").desc_nulls_first()] + [
         F.col(c).asc_nulls_last() for c in ["order_id"] + [c for c in DEDUP_ORDER if c != "revenue"]
     ]
-    return completed(df).orderBy(*order).limit(k).select(*TOP_COLUMNS)
+    return completed(df).orderBy(*order).limit(k)
+
+
+def vw_top_orders(df: DataFrame, k: int = TOP_ORDERS_LIMIT) -> DataFrame:
+    """View: the ``k`` Completed orders with the highest revenue."""
+    return top_completed(df, k).select(*TOP_COLUMNS)
 
 
 def preview_orders(df: DataFrame, n: int = PREVIEW_LIMIT) -> DataFrame:

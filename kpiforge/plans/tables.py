@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from kpiforge.operators import cleaning
-from kpiforge.operators.filters import filter_orders
+from kpiforge.operators.filters import filter_orders, order_filter
 from kpiforge.session import materialize
 
 
@@ -27,6 +27,12 @@ class FilterSpec:
             df, self.date_from, self.date_to, self.categories, self.regions, self.statuses
         )
 
+    def predicate(self):
+        """The filter as one Column predicate, or ``None``."""
+        return order_filter(
+            self.date_from, self.date_to, self.categories, self.regions, self.statuses
+        )
+
 
 @dataclass
 class OrderTables:
@@ -69,4 +75,8 @@ class OrderTables:
 
     @cached_property
     def issues(self) -> DataFrame:
-        return cleaning.issue_log(self.raw, self.deduped, self.clean, self.as_of)
+        return cleaning.issue_log(self.raw, self.deduped, self.as_of)
+
+    @cached_property
+    def funnel(self) -> DataFrame:
+        return cleaning.record_funnel(self.raw, self.deduped, self.filters.predicate())

@@ -119,9 +119,8 @@ def test_preview_and_formatted_tables(tables):
 
 
 def test_record_funnel_counts(tables):
-    from kpiforge.operators.cleaning import record_funnel
-
-    rows = {r["stage"]: r["records"] for r in record_funnel(
-        tables.raw, tables.deduped, tables.clean, tables.filtered).collect()}
+    t = OrderTables(tables.raw, as_of=AS_OF, filters=FilterSpec(categories=["PROMO"]))
+    rows = {r["stage"]: r["records"] for r in t.funnel.collect()}
     assert rows["Raw Data"] >= rows["After Dedup"] >= rows["After Null Fill"] >= rows["Final Clean"]
-    assert rows["After Null Fill"] == tables.clean.count()
+    assert rows["After Null Fill"] == t.clean.count()
+    assert rows["Final Clean"] == t.filtered.count()
