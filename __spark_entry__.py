@@ -108,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "revenue_by_payment": _q(lambda t: metrics.revenue_by_payment(t.clean)),
         "category_region_pivot": _q(lambda t: metrics.category_region_pivot(t.clean)),
         "preview_orders": _q(lambda t: _public(metrics.preview_orders(t.clean))),
+        "preview_caption": _q(lambda t: metrics.preview_caption(t.filtered)),
         # the eight SQL views
         "vw_revenue_trend": _view("vw_revenue_trend"),
         "vw_category_performance": _view("vw_category_performance"),
@@ -403,6 +404,9 @@ FROM (SELECT region, s, SUM(s) OVER () AS tot
         f"ORDER BY order_date ASC NULLS LAST, order_id ASC NULLS LAST, "
         + ", ".join(f"{c} ASC NULLS LAST" for c in _COLS[2:])
         + " LIMIT 500",
+        "preview_caption": b
+        + "SELECT LEAST(CAST(500 AS BIGINT), COUNT(*)) AS shown, COUNT(*) AS total_records, "
+        "'Showing first 500 of ' || format('{:,}', COUNT(*)) || ' records' AS caption FROM filtered",
         "vw_revenue_trend": b
         + f"SELECT CAST(date_trunc('month', order_date) AS TIMESTAMP) AS month, {_money('SUM(revenue)')} AS total_revenue, "
         f"COUNT(order_id) AS total_orders, {_avg('revenue')} AS avg_order_value "

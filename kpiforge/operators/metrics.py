@@ -371,6 +371,19 @@ def preview_orders(df: DataFrame, n: int = PREVIEW_LIMIT) -> DataFrame:
     )
 
 
+def preview_caption(df: DataFrame, n: int = PREVIEW_LIMIT) -> DataFrame:
+    """``[shown, total_records, caption]``: "Showing first 500 of 12,345 records"."""
+    from kpiforge.functions.expressions import count_text
+
+    return df.agg(F.count(F.lit(1)).alias("total_records")).select(
+        F.least(F.lit(n).cast("long"), F.col("total_records")).alias("shown"),
+        "total_records",
+        F.concat(
+            F.lit(f"Showing first {n} of "), count_text(F.col("total_records")), F.lit(" records")
+        ).alias("caption"),
+    )
+
+
 # --- period over period ------------------------------------------------------------
 
 def previous_window(date_from, date_to) -> tuple[dt.date, dt.date]:

@@ -78,15 +78,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/kpiforge/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame,
+    name: str,
+    partition_by: list[str] | None = None,
+    sort_within: list[str] | None = None,
+) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This cuts the lineage (a lost executor re-reads files instead of
     re-running the whole plan), and later filters push into the Parquet
-    scan of the written table.
+    scan of the written table.  ``sort_within`` sorts each task's rows
+    (no shuffle) so row-group min/max statistics are narrow on those
+    columns and pushed filters skip row groups.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
