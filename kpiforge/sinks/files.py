@@ -10,9 +10,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from kpiforge.schema import ORDERS_SCHEMA
-from kpiforge.sources.orders import read_orders
+from kpiforge.schema import CLEAN_REVENUE_TYPE, ORDERS_SCHEMA
 
 CSV_OPTIONS = {
     "header": "true",
@@ -33,11 +33,6 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, mode: str =
 
 def read_exported_orders(spark: SparkSession, path: str) -> DataFrame:
     """Read an orders CSV export back with the declared schema (clean revenue scale)."""
-    schema = ORDERS_SCHEMA
-    from pyspark.sql import types as T
-
-    from kpiforge.schema import CLEAN_REVENUE_TYPE
-
     schema = T.StructType(
         [
             T.StructField(f.name, CLEAN_REVENUE_TYPE if f.name == "revenue" else f.dataType, True)
@@ -74,6 +69,3 @@ def write_bundle(
             writer.format(fmt).save(path)
         paths[name] = path
     return paths
-
-
-__all__ = ["export_csv", "read_exported_orders", "write_bundle", "bundle_stamp", "read_orders"]

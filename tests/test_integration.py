@@ -124,3 +124,23 @@ def test_record_funnel_counts(tables):
     assert rows["Raw Data"] >= rows["After Dedup"] >= rows["After Null Fill"] >= rows["Final Clean"]
     assert rows["After Null Fill"] == t.clean.count()
     assert rows["Final Clean"] == t.filtered.count()
+
+
+def test_etl_job_writes_every_table(spark, tables):
+    from kpiforge.plans.etl import run_etl
+
+    out = scratch_path(spark, "etl")
+    paths = run_etl(tables.raw, out, as_of="2001-06-15 00:00:00", filters=FilterSpec(categories=["PROMO"]))
+    assert "vw_regional_sales" in paths and "report/kpi_cards" in paths and "clean_orders" in paths
+    assert spark.read.parquet(paths["clean_orders"]).count() == tables.clean.count()
+    assert spark.read.parquet(paths["vw_data_quality"]).count() == 4
+    assert spark.read.parquet(paths["report/raw_data"]).count() > 0
+
+
+def test_cli_entry_point(spark):
+    from kpiforge.__main__ import main
+
+    out = scratch_path(spark, "cli")
+    paths = main(["--star-dir", SF_TINY, "--out", out, "--as-of", "2001-06-15 00:00:00",
+                  "--category", "PROMO", "--status", "Completed"])
+    assert spark.read.parquet(paths["report/category"]).count() == 1
