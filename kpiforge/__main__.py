@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from kpiforge.plans.etl import run_etl
 from kpiforge.plans.tables import FilterSpec
-from kpiforge.session import checkpoint_root
+from kpiforge.session import checkpoint_root, materialize
 from kpiforge.sources.orders import conform_test_tables, read_orders
 
 
@@ -35,11 +35,12 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
 
     spark = SparkSession.builder.appName("kpiforge-etl").getOrCreate()
     checkpoint_root(spark)  # fail fast without a shared checkpoint folder
-    raw = (
-        read_orders(spark, args.orders, fmt=args.format)
-        if args.orders
-        else conform_test_tables(spark, args.star_dir)
-    )
+    if args.orders:
+        raw = read_orders(spark, args.orders, fmt=args.format)  # plain scan, cheap to re-read
+    else:
+        # the star join is read by several passes (median, fill, dedup,
+        # issue counts): write it once instead of re-joining each time
+        raw = materialize(conform_test_tables(spark, args.star_dir), "raw_orders")
     filters = FilterSpec(args.date_from, args.date_to, args.category, args.region, args.status)
     paths = run_etl(raw, args.out, as_of=args.as_of, filters=filters, fmt=args.out_format)
     print(json.dumps(paths, indent=2))

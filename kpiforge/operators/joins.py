@@ -40,8 +40,15 @@ def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
 
 
 def fits_broadcast_all(frames: dict[str, DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, bool]:
-    """Size checks of several frames in one Spark job (one row of counts)."""
+    """Size checks of several frames in one Spark job (one row of counts).
+
+    Each frame is cut to ``max_rows + 1`` rows before counting, so tasks
+    stop early and a large table is never scanned in full just to learn
+    that it is too big to broadcast.
+    """
     from kpiforge.operators.stats import named_counts
 
-    row = named_counts([(df, {name: F.count(F.lit(1))}) for name, df in frames.items()]).first()
+    row = named_counts(
+        [(df.limit(max_rows + 1), {name: F.count(F.lit(1))}) for name, df in frames.items()]
+    ).first()
     return {name: row[name] <= max_rows for name in frames}

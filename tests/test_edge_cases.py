@@ -5,7 +5,6 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from kpiforge.functions.expressions import money
 from kpiforge.operators import cleaning, filters, metrics
