@@ -132,9 +132,11 @@ def group_median(
             .agg(F.percentile_approx("_v", quantiles, accuracy).alias("g"))
         )
         gw = grids.withColumnRenamed("_sk", "_gk")
-        gw = size_checked_broadcast(
-            wide.join(gw, wide["_sk"].eqNullSafe(gw["_gk"])).drop("_gk")
-        )
+        # written, not just persisted: the sketch result may depend on merge
+        # order, and both uses below must see the same grid even if an
+        # executor holding a cached block is lost
+        gw = materialize(wide.join(gw, wide["_sk"].eqNullSafe(gw["_gk"])).drop("_gk"), "median_grid")
+        gw = size_checked_broadcast(gw, persist=False)
         # bucket j holds values in [g[j], g[j+1]) with g[0] = lo, g[m+1] = hi
         buckets = (
             _nullsafe(values, gw)
