@@ -65,8 +65,17 @@ def _known(df: DataFrame, *cols: str) -> DataFrame:
 
 # --- KPI summary ---------------------------------------------------------------
 
-def kpi_aggregates(cond: Column | None = None) -> dict[str, Column]:
-    """The six KPIs as aggregate expressions, optionally over rows where ``cond``."""
+def distinct_count(c: Column, approx_rsd: float | None = None) -> Column:
+    """Exact distinct count, or an HLL estimate with relative error ``approx_rsd``."""
+    return F.approx_count_distinct(c, approx_rsd) if approx_rsd else F.count_distinct(c)
+
+
+def kpi_aggregates(cond: Column | None = None, approx_rsd: float | None = None) -> dict[str, Column]:
+    """The six KPIs as aggregate expressions, optionally over rows where ``cond``.
+
+    ``approx_rsd`` (off by default) replaces the exact unique-customer count
+    by an HLL estimate: one partial aggregate instead of a two-level one.
+    """
     base = F.lit(True) if cond is None else cond
     rows = F.count_if(base)
     return {
@@ -75,7 +84,7 @@ def kpi_aggregates(cond: Column | None = None) -> dict[str, Column]:
         "avg_order_value": money(F.avg(F.when(base & is_completed(), F.col("revenue")))),
         "cancellation_rate": pct(F.count_if(base & is_cancelled()), rows),
         "completed_orders": F.count_if(base & is_completed()),
-        "unique_customers": F.count_distinct(F.when(base, F.col("customer_id"))),
+        "unique_customers": distinct_count(F.when(base, F.col("customer_id")), approx_rsd),
     }
 
 
@@ -89,10 +98,10 @@ KPI_ORDER = [
 ]
 
 
-def kpi_summary(df: DataFrame) -> DataFrame:
+def kpi_summary(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """One row: total revenue and AOV (Completed), orders, cancellation %,
     completed orders, unique customers; one pass with conditional aggregates."""
-    aggs = kpi_aggregates()
+    aggs = kpi_aggregates(approx_rsd=approx_rsd)
     return df.agg(*[aggs[k].alias(k) for k in KPI_ORDER])
 
 
@@ -204,7 +213,7 @@ def orders_by_region(df: DataFrame) -> DataFrame:
     )
 
 
-def report_regional(df: DataFrame) -> DataFrame:
+def report_regional(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """Report sheet: orders, revenue, unique customers per region.
 
     The distinct count is planned as a two-level aggregate keyed on
@@ -217,13 +226,13 @@ def report_regional(df: DataFrame) -> DataFrame:
         .agg(
             F.count("order_id").alias(h[1]),
             money(pandas_sum("revenue")).alias(h[2]),
-            F.count_distinct("customer_id").alias(h[3]),
+            distinct_count(F.col("customer_id"), approx_rsd).alias(h[3]),
         )
         .orderBy(F.col(f"`{h[2]}`").desc_nulls_last(), F.col(f"`{h[0]}`"))
     )
 
 
-def vw_regional_sales(df: DataFrame) -> DataFrame:
+def vw_regional_sales(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """View: orders, revenue, rounded AOV, unique customers per region."""
     return (
         df.groupBy("region")
@@ -231,7 +240,7 @@ def vw_regional_sales(df: DataFrame) -> DataFrame:
             F.count("order_id").alias("total_orders"),
             money(F.sum("revenue")).alias("total_revenue"),
             money(F.avg("revenue")).alias("avg_order_value"),
-            F.count_distinct("customer_id").alias("unique_customers"),
+            distinct_count(F.col("customer_id"), approx_rsd).alias("unique_customers"),
         )
         .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("region").asc_nulls_last())
     )

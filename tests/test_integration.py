@@ -143,3 +143,20 @@ def test_cli_entry_point(spark):
     paths = main(["--star-dir", SF_TINY, "--out", out, "--as-of", "2001-06-15 00:00:00",
                   "--category", "PROMO", "--status", "Completed"])
     assert spark.read.parquet(paths["report/category"]).count() == 1
+
+
+def test_approximate_options_stay_close(tables):
+    from kpiforge.operators.cleaning import category_median
+
+    exact = {r["category"]: float(r["median_revenue"]) for r in tables.medians.collect()}
+    approx = {r["category"]: float(r["median_revenue"])
+              for r in category_median(tables.raw, approx_accuracy=10_000).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert approx[k] == pytest.approx(exact[k], rel=0.02)
+    e = metrics.vw_regional_sales(tables.clean).collect()
+    a = {r["region"]: r["unique_customers"] for r in metrics.vw_regional_sales(tables.clean, 0.02).collect()}
+    for r in e:
+        assert abs(a[r["region"]] - r["unique_customers"]) <= 0.08 * r["unique_customers"] + 1
+    k = metrics.kpi_summary(tables.clean, approx_rsd=0.02).first()
+    assert k["unique_customers"] > 0
