@@ -53,9 +53,18 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a scratch one only if unset."""
+    """Return the shared checkpoint folder; create a scratch one only if unset.
+
+    The scratch fallback is for ``local[...]`` masters (tests, single
+    machine).  On a cluster a machine-local folder is not shared, so an
+    unset ``spark.checkpoint.dir`` is an error there.
+    """
     current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                f"{CHECKPOINT_CONF} is not set; point it at storage shared by all executors"
+            )
         current = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     if not spark.sparkContext.getCheckpointDir():
