@@ -51,6 +51,14 @@ def timed(fn, repeats: int = REPEATS):
     return out, best
 
 
+def _sf_value(sf_dir: str):
+    text = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(text)
+    except ValueError:
+        return text
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -96,7 +104,7 @@ def main() -> None:
                 "value": round(total, 3),
                 "unit": "sec",
                 "queries": {k: round(v, 3) for k, v in times.items()},
-                "sf": os.path.basename(sf_dir).replace("sf", ""),
+                "sf": _sf_value(sf_dir),
                 "cpus": cpus,
             }
         )

@@ -61,7 +61,6 @@ def _covers(rank: str) -> Column:
     return (F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_cum"))
 
 
-
 def group_median(
     df: DataFrame,
     key: str,
