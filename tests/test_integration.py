@@ -160,3 +160,25 @@ def test_approximate_options_stay_close(tables):
         assert abs(a[r["region"]] - r["unique_customers"]) <= 0.08 * r["unique_customers"] + 1
     k = metrics.kpi_summary(tables.clean, approx_rsd=0.02).first()
     assert k["unique_customers"] > 0
+
+
+def test_fixture_expected_counts_sf001(spark):
+    """The counts FIXTURES.md lists for sf0.01 (compared there row by row with DuckDB)."""
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.01"
+    log = {r["issue_type"]: r["issue_count"] for r in e.queries()["issue_log"](spark, sf).collect()}
+    dq = {r["issue_type"]: r["issue_count"] for r in e.queries()["vw_data_quality"](spark, sf).collect()}
+    assert log == {
+        "Missing Values": 937,
+        "Duplicate Order IDs": 60_000 - 45_832,
+        "Negative Revenue": 189,
+        "Future Dates": 871,
+        "Records After Cleaning": 45_643,
+    }
+    assert dq == {
+        "Missing Revenue": 937,
+        "Duplicate Order IDs": 60_000 - 45_832,
+        "Future Dates": 1_141,
+        "Negative Revenue": 267,
+    }
