@@ -81,3 +81,8 @@ def percent_text(c: Column) -> Column:
 def heading(name: str) -> str:
     """Display heading of a column name: ``order_id`` -> ``Order Id``."""
     return name.replace("_", " ").title()
+
+
+def stamp_text(as_of, pattern: str = "dd MMM yyyy HH:mm:ss") -> Column:
+    """The reporting instant as display text (``15 Jun 2001 00:00:00``)."""
+    return F.date_format(as_of_literal(as_of), pattern)

@@ -12,6 +12,7 @@ from kpiforge.functions.expressions import (
     money_text,
     pandas_sum,
     percent_text,
+    stamp_text,
 )
 from kpiforge.operators import cleaning, metrics
 from kpiforge.operators.stats import rows_of
@@ -61,14 +62,15 @@ def report_raw_data(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(heading(c)) for c in ORDER_COLUMNS])
 
 
-def report_quality(issues: DataFrame) -> DataFrame:
-    """Quality sheet: issue type, count, action, severity."""
+def report_quality(issues: DataFrame, as_of=None) -> DataFrame:
+    """Quality sheet: issue type, count, action, severity, last-refreshed stamp."""
     return cleaning.issue_severity(issues).select(
         "step",
         F.col("issue_type").alias(HEAD_QUALITY[0]),
         F.col("issue_count").alias(HEAD_QUALITY[1]),
         F.col("action").alias(HEAD_QUALITY[2]),
         "severity",
+        stamp_text(as_of).alias("last_refreshed"),
     )
 
 
@@ -84,6 +86,6 @@ def report_tables(t: OrderTables) -> dict[str, DataFrame]:
         "category": metrics.report_category(filtered),
         "revenue_trend": metrics.report_revenue_trend(filtered),
         "regional": metrics.report_regional(filtered),
-        "data_quality": report_quality(t.issues),
+        "data_quality": report_quality(t.issues, t.as_of),
         "raw_data": report_raw_data(filtered),
     }

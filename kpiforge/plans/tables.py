@@ -80,6 +80,21 @@ class OrderTables:
     def issues(self) -> DataFrame:
         return cleaning.issue_log(self.raw, self.deduped, self.as_of)
 
+    def reload(self) -> "OrderTables":
+        """Drop cached summaries and re-list the source files; a fresh, lazy copy.
+
+        The "refresh data" action: cached frames are keyed by plan, and a
+        plan over the same source path looks unchanged after new files
+        land, so the cache is cleared and the file listing refreshed.
+        """
+        spark = self.raw.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in self.raw.inputFiles()}:
+            spark.catalog.refreshByPath(path)
+        spark.catalog.clearCache()
+        return OrderTables(
+            self.raw, self.as_of, self.filters, self.materialized, dict(self.median_options)
+        )
+
     @cached_property
     def funnel(self) -> DataFrame:
         return cleaning.record_funnel(self.raw, self.deduped, self.filters.predicate())

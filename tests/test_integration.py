@@ -182,3 +182,20 @@ def test_fixture_expected_counts_sf001(spark):
         "Future Dates": 1_141,
         "Negative Revenue": 267,
     }
+
+
+def test_reload_sees_new_files(spark):
+    from kpiforge.sources.orders import read_orders
+
+    raw = conform_test_tables(spark, SF_TINY)
+    path = scratch_path(spark, "reload")
+    src = raw.orderBy("order_id", "order_date", "revenue")
+    src.limit(3000).write.parquet(path)
+    t = OrderTables(read_orders(spark, path), as_of=AS_OF)
+    before = t.clean.count()
+    src.subtract(src.limit(3000)).write.mode("append").parquet(path)
+    t2 = t.reload()
+    assert t2.raw.count() == raw.count()
+    assert t2.clean.count() >= before
+    q = {r["Issue Type"]: r["last_refreshed"] for r in report.report_quality(t2.issues, AS_OF).collect()}
+    assert set(q.values()) == {"15 Jun 2001 00:00:00"}
