@@ -39,16 +39,22 @@ def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def fits_broadcast_all(frames: dict[str, DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> dict[str, bool]:
+def fits_broadcast_all(
+    frames: dict[str, DataFrame], max_rows: int = BROADCAST_MAX_ROWS, early_stop: bool = False
+) -> dict[str, bool]:
     """Size checks of several frames in one Spark job (one row of counts).
 
-    Each frame is cut to ``max_rows + 1`` rows before counting, so tasks
-    stop early and a large table is never scanned in full just to learn
-    that it is too big to broadcast.
+    For plain Parquet scans a row count reads only row-group metadata (no
+    column is decoded), so a full count is cheap even for a large table.
+    For frames that are costly to compute, ``early_stop`` cuts each one to
+    ``max_rows + 1`` rows first (tasks stop early, at the price of one
+    single-partition exchange per frame).
     """
     from kpiforge.operators.stats import named_counts
 
-    row = named_counts(
-        [(df.limit(max_rows + 1), {name: F.count(F.lit(1))}) for name, df in frames.items()]
-    ).first()
+    parts = [
+        (df.limit(max_rows + 1) if early_stop else df, {name: F.count(F.lit(1))})
+        for name, df in frames.items()
+    ]
+    row = named_counts(parts).first()
     return {name: row[name] <= max_rows for name in frames}
