@@ -28,6 +28,7 @@ compared with orders, and ``compact_partials`` folds many epochs into one.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -91,8 +92,14 @@ def start_incremental_refresh(
         session = batch.sparkSession
         session.catalog.refreshByPath(medians_path)  # pick up a newly published table
         medians = session.read.parquet(medians_path).select("category", "median_revenue")
-        clean = drop_negative(fill_missing_median(batch, medians))
-        write_partials(batch_partials(clean), out, epoch_id)
+        # three partial tables are written from one batch: persist it so the
+        # micro-batch (file read and stateful dedup) runs once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            clean = drop_negative(fill_missing_median(batch, medians))
+            write_partials(batch_partials(clean), out, epoch_id)
+        finally:
+            batch.unpersist()
 
     writer = deduped.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:

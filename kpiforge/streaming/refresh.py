@@ -19,6 +19,7 @@ committed batch.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,9 +68,14 @@ def start_refresh(
     stream = reader.parquet(inbox)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
+        # checked and written: persist so the micro-batch is read once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():
+                return
+            batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
         refresh_tables(batch.sparkSession, store, out, as_of)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
