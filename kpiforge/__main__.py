@@ -31,6 +31,10 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     p.add_argument("--region", action="append", default=None)
     p.add_argument("--status", action="append", default=None)
     p.add_argument("--out-format", default="parquet")
+    p.add_argument(
+        "--partition-by-month", action="store_true",
+        help="store clean orders partitioned by month (date filters prune partitions)",
+    )
     args = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("kpiforge-etl").getOrCreate()
@@ -42,7 +46,10 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         # issue counts): write it once instead of re-joining each time
         raw = materialize(conform_test_tables(spark, args.star_dir), "raw_orders")
     filters = FilterSpec(args.date_from, args.date_to, args.category, args.region, args.status)
-    paths = run_etl(raw, args.out, as_of=args.as_of, filters=filters, fmt=args.out_format)
+    paths = run_etl(
+        raw, args.out, as_of=args.as_of, filters=filters, fmt=args.out_format,
+        partition_by_month=args.partition_by_month,
+    )
     print(json.dumps(paths, indent=2))
     return paths
 

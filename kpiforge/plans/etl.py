@@ -25,11 +25,15 @@ def run_etl(
     filters: FilterSpec | None = None,
     stamp: str | None = None,
     fmt: str = "parquet",
+    partition_by_month: bool = False,
 ) -> dict[str, str]:
     """Clean ``raw`` and write all tables; returns table name -> path."""
     if as_of is None:
         as_of = dt.datetime.now().replace(microsecond=0)
-    t = OrderTables(raw, as_of=as_of, filters=filters or FilterSpec(), materialized=True)
+    t = OrderTables(
+        raw, as_of=as_of, filters=filters or FilterSpec(), materialized=True,
+        partition_by_month=partition_by_month,
+    )
     if stamp is None:
         stamp = bundle_stamp(as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of)))
     tables: dict[str, DataFrame] = {

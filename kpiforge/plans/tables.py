@@ -6,11 +6,15 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kpiforge.operators import cleaning
-from kpiforge.operators.filters import filter_orders, order_filter
+from kpiforge.operators.filters import _as_date, filter_orders, order_filter
+from kpiforge.schema import ORDER_COLUMNS
 from kpiforge.session import materialize
 
+MONTH_COLUMN = "order_month"
+
 
 @dataclass
 class FilterSpec:
@@ -33,6 +37,18 @@ class FilterSpec:
             self.date_from, self.date_to, self.categories, self.regions, self.statuses
         )
 
+    def month_predicate(self):
+        """The date range on the ``order_month`` partition column (``YYYY-MM`` text)."""
+        preds = []
+        if self.date_from is not None:
+            preds.append(F.col(MONTH_COLUMN) >= _as_date(self.date_from).strftime("%Y-%m"))
+        if self.date_to is not None:
+            preds.append(F.col(MONTH_COLUMN) <= _as_date(self.date_to).strftime("%Y-%m"))
+        out = None
+        for p in preds:
+            out = p if out is None else out & p
+        return out
+
 
 @dataclass
 class OrderTables:
@@ -49,6 +65,7 @@ class OrderTables:
     filters: FilterSpec = field(default_factory=FilterSpec)
     materialized: bool = False
     median_options: dict = field(default_factory=dict)
+    partition_by_month: bool = False
 
     @cached_property
     def medians(self) -> DataFrame:
@@ -59,14 +76,26 @@ class OrderTables:
         return cleaning.fill_missing_median(self.raw, self.medians)
 
     @cached_property
-    def deduped(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """The de-duplicated rows as stored (with ``order_month`` when partitioned)."""
         deduped = cleaning.dedup_orders(self.filled)
-        if self.materialized:
-            # the dedup output is hashed by order_id, so every file spans all
-            # dates; sorting each file by date keeps row-group date ranges
-            # narrow and date filters skip row groups
-            deduped = materialize(deduped, "deduped_orders", sort_within=["order_date"])
-        return deduped
+        if not self.materialized:
+            return deduped
+        if self.partition_by_month:
+            # range-partition on (date, id): balanced tasks even for a hot date,
+            # and each task covers few months, so few files per partition
+            laid = deduped.withColumn(
+                MONTH_COLUMN, F.date_format("order_date", "yyyy-MM")
+            ).repartitionByRange("order_date", "order_id")
+            return materialize(laid, "deduped_orders", partition_by=[MONTH_COLUMN])
+        # the dedup output is hashed by order_id, so every file spans all
+        # dates; sorting each file by date keeps row-group date ranges
+        # narrow and date filters skip row groups
+        return materialize(deduped, "deduped_orders", sort_within=["order_date"])
+
+    @cached_property
+    def deduped(self) -> DataFrame:
+        return self.stored.select(*ORDER_COLUMNS) if self.partition_by_month else self.stored
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -74,6 +103,10 @@ class OrderTables:
 
     @cached_property
     def filtered(self) -> DataFrame:
+        if self.materialized and self.partition_by_month:
+            month = self.filters.month_predicate()
+            stored = self.stored if month is None else self.stored.where(month)
+            return self.filters.apply(cleaning.drop_negative(stored)).select(*ORDER_COLUMNS)
         return self.filters.apply(self.clean)
 
     @cached_property
@@ -92,7 +125,8 @@ class OrderTables:
             spark.catalog.refreshByPath(path)
         spark.catalog.clearCache()
         return OrderTables(
-            self.raw, self.as_of, self.filters, self.materialized, dict(self.median_options)
+            self.raw, self.as_of, self.filters, self.materialized, dict(self.median_options),
+            self.partition_by_month,
         )
 
     @cached_property

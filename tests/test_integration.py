@@ -140,7 +140,7 @@ def test_cli_entry_point(spark):
     from kpiforge.__main__ import main
 
     out = scratch_path(spark, "cli")
-    paths = main(["--star-dir", SF_TINY, "--out", out, "--as-of", "2001-06-15 00:00:00",
+    paths = main(["--star-dir", SF_TINY, "--out", out, "--as-of", "2001-06-15 00:00:00", "--partition-by-month",
                   "--category", "PROMO", "--status", "Completed"])
     assert spark.read.parquet(paths["report/category"]).count() == 1
 

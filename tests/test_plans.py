@@ -76,3 +76,21 @@ def test_distinct_count_is_two_level(spark):
     plan = _formatted(metrics.vw_regional_sales(raw))
     # partial aggregation keyed by (region, customer_id) before the final count
     assert plan.count("HashAggregate") >= 4
+
+
+def test_month_partitioned_layout_prunes_and_matches(spark):
+    from kpiforge.plans.tables import FilterSpec
+
+    raw = materialize(conform_test_tables(spark, SF_TINY), "month_raw")
+    spec = FilterSpec(date_from="1996-02-10", date_to="1996-05-20", categories=["PROMO", "SMALL"])
+    plain = OrderTables(raw, as_of="2001-06-15 00:00:00", filters=spec, materialized=True)
+    parted = OrderTables(
+        raw, as_of="2001-06-15 00:00:00", filters=spec, materialized=True, partition_by_month=True
+    )
+    assert parted.clean.columns == plain.clean.columns
+    assert sorted(map(tuple, parted.filtered.collect())) == sorted(map(tuple, plain.filtered.collect()))
+    assert parted.clean.count() == plain.clean.count()
+    plan = _formatted(parted.filtered)
+    part_filters = [line for line in plan.splitlines() if line.startswith("PartitionFilters")]
+    assert part_filters and "order_month" in part_filters[0]
+    assert dict(parted.stored.dtypes)["order_month"] == "string"
