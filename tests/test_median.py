@@ -6,6 +6,8 @@ import random
 import statistics
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kpiforge.operators.median import group_median
@@ -71,3 +73,26 @@ def test_matches_spark_median_on_test_data(spark):
     assert mine.keys() == ref.keys()
     for k in ref:
         assert mine[k] == pytest.approx(ref[k], abs=1e-9)
+
+
+_rows_strategy = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", None]),
+        st.one_of(st.none(), st.integers(-50, 50).map(lambda x: x / 4)),
+    ),
+    min_size=1,
+    max_size=120,
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=_rows_strategy, bound=st.sampled_from([2, 5, 1_000_000]))
+def test_property_matches_statistics_median(spark, rows, bound):
+    got = _spark_medians(spark, rows, max_group_rows=bound, grid=4)
+    want = _brute(rows)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        if v is None:
+            assert got[k] is None
+        else:
+            assert got[k] == pytest.approx(v, abs=1e-9)
