@@ -62,7 +62,13 @@ def _sf_value(sf_dir: str):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app_name="kpiforge-bench")
+    extra = {}
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # stage/task times, off by default
+    if event_dir:
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir}
+    spark = build_session(
+        master=f"local[{cpus}]", shuffle_partitions=cpus, app_name="kpiforge-bench", extra=extra
+    )
     # warm the JVM (class loading, codegen caches) on a throwaway query
     spark.range(1000).selectExpr("sum(id)").collect()
 
