@@ -7,11 +7,12 @@ count future-dated rows.  Each step is a lazy ``DataFrame -> DataFrame``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.expressions import as_of_literal, pct
-from kpiforge.operators.joins import size_checked_broadcast
+from kpiforge.operators.joins import BROADCAST_MAX_ROWS, fits_broadcast, salted_left_join
 from kpiforge.operators.median import group_median
 from kpiforge.operators.stats import named_counts, rows_of
 from kpiforge.schema import (
@@ -52,18 +53,28 @@ def category_median(
     )
 
 
-def fill_missing_median(raw: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+def fill_missing_median(
+    raw: DataFrame, medians: DataFrame | None = None, broadcast_rows: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
     """Replace missing revenue by the median of its category.
 
     The median table (one row per category) is broadcast after a size
-    check.  Rows with a NULL category keep their revenue (the reference
+    check; beyond ``broadcast_rows`` categories a salted shuffle join is
+    used.  Rows with a NULL category keep their revenue (the reference
     would blank it; we do not reproduce that data loss).
     """
     med = medians if medians is not None else category_median(raw)
-    med_b = size_checked_broadcast(
-        med.select(F.col("category").alias("_mcat"), F.col("median_revenue").alias("_med"))
-    )
-    joined = raw.join(med_b, raw["category"] == med_b["_mcat"], "left")
+    # one row per category; persisted so the size check and the join share
+    # one computation of the median
+    med = med.select(
+        F.col("category").alias("_mcat"), F.col("median_revenue").alias("_med")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    if fits_broadcast(med, broadcast_rows):
+        joined = raw.join(F.broadcast(med), raw["category"] == med["_mcat"], "left")
+    else:
+        # too many categories to broadcast: a salted join keeps a category
+        # holding a third of the rows from landing in one task
+        joined = salted_left_join(raw, med, "category", "_mcat", ORDER_COLUMNS)
     return joined.select(
         *[
             F.coalesce(F.col("revenue").cast(CLEAN_REVENUE_TYPE), F.col("_med")).alias("revenue")

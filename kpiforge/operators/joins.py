@@ -58,3 +58,29 @@ def fits_broadcast_all(
     ]
     row = named_counts(parts).first()
     return {name: row[name] <= max_rows for name in frames}
+
+
+SALTS = 64
+
+
+def salted_left_join(
+    big: DataFrame, small: DataFrame, big_key: str, small_key: str, salt_columns: list[str],
+    salts: int = SALTS,
+) -> DataFrame:
+    """Left join on one key that stays balanced when a key value is hot.
+
+    Used where ``small`` is too big to broadcast.  Every ``small`` row is
+    replicated once per salt; every ``big`` row gets a deterministic salt
+    from a hash of ``salt_columns`` (same on retry), so the rows of a hot
+    key spread over ``salts`` join tasks instead of one.
+    """
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_big = big.withColumn(
+        "_salt", F.pmod(F.hash(*[F.col(c) for c in salt_columns]), F.lit(salts))
+    )
+    cond = (salted_big[big_key] == salted_small[small_key]) & (
+        salted_big["_salt"] == salted_small["_salt"]
+    )
+    return salted_big.join(salted_small, cond, "left").drop(salted_big["_salt"]).drop(
+        salted_small["_salt"]
+    )

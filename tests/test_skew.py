@@ -81,3 +81,15 @@ def test_hot_category_aggregates(spark, skewed):
         assert got[k] == pytest.approx(round(v, 2), abs=0.005)
     uniq = {r["region"]: r["unique_customers"] for r in metrics.vw_regional_sales(t.clean).collect()}
     assert uniq == pdf.groupby("region")["customer_id"].nunique().to_dict()
+
+
+def test_salted_fill_equals_broadcast_fill(spark, skewed):
+    t = OrderTables(skewed, as_of=AS_OF)
+    med = t.medians
+    by_broadcast = cleaning.fill_missing_median(skewed, med)
+    by_salting = cleaning.fill_missing_median(skewed, med, broadcast_rows=0)
+    plan = by_salting._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan or "_salt" in plan
+    a = sorted(map(tuple, by_broadcast.collect()), key=repr)
+    b = sorted(map(tuple, by_salting.collect()), key=repr)
+    assert a == b
