@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores if its scan has fewer splits.
+    """Spread ``df`` over the cluster's cores if its scan has fewer splits.
 
     A Parquet file with a single row group is one split, so everything
     pipelined after the scan runs in one task.  Large inputs already have
     at least one split per core and are returned unchanged (no shuffle).
-    Rows are hashed on all columns: deterministic on retry without the
-    sort a round-robin repartition needs, and no single key value can
-    pile up in one partition.
+    Rows are hashed on their position in the scan: identical copies still
+    land in different partitions, and right after a file scan the
+    position is the same on a retry (no sort needed, unlike round-robin).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, *df.columns)
+    return df.repartition(target, F.monotonically_increasing_id())
