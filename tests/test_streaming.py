@@ -97,3 +97,18 @@ def test_exact_refresh_resumes_after_restart(spark):
     got = spark.read.parquet(f"{base}/out/vw_category_performance")
     want = metrics.vw_category_performance(OrderTables(raw, as_of=AS_OF).clean)
     assert _rows(got) == _rows(want)
+
+
+def test_first_copy_per_partition_collapses_identical_copies():
+    import datetime as dt
+
+    import pandas as pd
+
+    from kpiforge.streaming.incremental import first_copy_per_partition
+
+    d1, d2 = dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 2)
+    b1 = pd.DataFrame({"order_id": ["A", "A", "B", None, None], "order_date": [d1, d1, d1, d1, d1], "v": [1, 2, 3, 4, 5]})
+    b2 = pd.DataFrame({"order_id": ["A", "A", "C"], "order_date": [d1, d2, d1], "v": [6, 7, 8]})
+    out = pd.concat(list(first_copy_per_partition(iter([b1, b2]))))
+    # one row per (id, date): the first copy; a copy with another date is kept
+    assert out["v"].tolist() == [1, 3, 4, 7, 8]
