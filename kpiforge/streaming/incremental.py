@@ -29,7 +29,9 @@ compared with orders, and ``compact_partials`` folds many epochs into one.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import sys
+
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,6 +61,12 @@ def first_copy_per_partition(batches):
         yield pdf[first]
 
 
+# The helper above runs in Python workers.  Ship this module's functions by
+# value, so workers need no installed copy of the package (driver started
+# from another folder, or a cluster without --py-files); it needs pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def batch_partials(clean: DataFrame) -> dict[str, DataFrame]:
     """Partial aggregates of one batch of clean orders."""
     rollup = clean.groupBy(

@@ -112,3 +112,28 @@ def test_first_copy_per_partition_collapses_identical_copies():
     out = pd.concat(list(first_copy_per_partition(iter([b1, b2]))))
     # one row per (id, date): the first copy; a copy with another date is kept
     assert out["v"].tolist() == [1, 3, 4, 7, 8]
+
+
+def test_incremental_query_runs_outside_the_repo_folder(tmp_path):
+    """Python workers must not need the package on their path (driver elsewhere, cluster)."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]')"
+        ".config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['incremental_regional_sales'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(
+        [sys.executable, str(script)], cwd=str(tmp_path), env=env,
+        capture_output=True, text=True, timeout=600,
+    )
+    assert "ROWS 5" in out.stdout, out.stderr[-2000:]
