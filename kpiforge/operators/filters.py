@@ -12,7 +12,7 @@ from kpiforge.functions.expressions import ts_literal
 from kpiforge.schema import ALL
 
 
-def _as_date(value: str | dt.date) -> dt.date:
+def as_date(value: str | dt.date) -> dt.date:
     if isinstance(value, dt.datetime):
         return value.date()
     if isinstance(value, dt.date):
@@ -35,9 +35,9 @@ def date_range(date_from=None, date_to=None) -> Column | None:
     """
     preds = []
     if date_from is not None:
-        preds.append(F.col("order_date") >= ts_literal(_as_date(date_from)))
+        preds.append(F.col("order_date") >= ts_literal(as_date(date_from)))
     if date_to is not None:
-        preds.append(F.col("order_date") < ts_literal(_as_date(date_to) + dt.timedelta(days=1)))
+        preds.append(F.col("order_date") < ts_literal(as_date(date_to) + dt.timedelta(days=1)))
     return _and(preds)
 
 

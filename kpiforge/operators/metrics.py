@@ -29,7 +29,7 @@ from kpiforge.functions.expressions import (
     pct,
     ts_literal,
 )
-from kpiforge.operators.filters import _as_date
+from kpiforge.operators.filters import as_date
 from kpiforge.operators.stats import rows_of
 from kpiforge.schema import (
     CANCELLED,
@@ -397,7 +397,7 @@ def preview_caption(df: DataFrame, n: int = PREVIEW_LIMIT) -> DataFrame:
 
 def previous_window(date_from, date_to) -> tuple[dt.date, dt.date]:
     """Same number of days as ``[from, to]``, ending the day before ``from``."""
-    f, t = _as_date(date_from), _as_date(date_to)
+    f, t = as_date(date_from), as_date(date_to)
     days = (t - f).days + 1
     prev_to = f - dt.timedelta(days=1)
     return prev_to - dt.timedelta(days=days - 1), prev_to
@@ -411,7 +411,7 @@ def kpi_delta(df: DataFrame, date_from, date_to) -> DataFrame:
     aggregates.  ``delta_pct`` is ``(cur - prev) / prev * 100`` on the
     published values, NULL when ``prev`` is 0 or missing.
     """
-    f, t = _as_date(date_from), _as_date(date_to)
+    f, t = as_date(date_from), as_date(date_to)
     pf, _ = previous_window(f, t)
     end = ts_literal(t + dt.timedelta(days=1))
     in_cur = F.col("order_date") >= ts_literal(f)

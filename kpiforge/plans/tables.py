@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.operators import cleaning
-from kpiforge.operators.filters import _as_date, filter_orders, order_filter
+from kpiforge.operators.filters import as_date, filter_orders, order_filter
 from kpiforge.schema import ORDER_COLUMNS
 from kpiforge.session import materialize
 
@@ -41,9 +41,9 @@ class FilterSpec:
         """The date range on the ``order_month`` partition column (``YYYY-MM`` text)."""
         preds = []
         if self.date_from is not None:
-            preds.append(F.col(MONTH_COLUMN) >= _as_date(self.date_from).strftime("%Y-%m"))
+            preds.append(F.col(MONTH_COLUMN) >= as_date(self.date_from).strftime("%Y-%m"))
         if self.date_to is not None:
-            preds.append(F.col(MONTH_COLUMN) <= _as_date(self.date_to).strftime("%Y-%m"))
+            preds.append(F.col(MONTH_COLUMN) <= as_date(self.date_to).strftime("%Y-%m"))
         out = None
         for p in preds:
             out = p if out is None else out & p
