@@ -93,3 +93,29 @@ def test_salted_fill_equals_broadcast_fill(spark, skewed):
     a = sorted(map(tuple, by_broadcast.collect()), key=repr)
     b = sorted(map(tuple, by_salting.collect()), key=repr)
     assert a == b
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_ids = st.sampled_from(["A", "B", None])
+_dates = st.sampled_from(["2000-01-01 00:00:00", "2000-01-02 00:00:00", None])
+_cats = st.sampled_from(["x", "y", None])
+_revs = st.sampled_from(["1.00", "2.00", None])
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(_ids, _dates, _cats, _revs, st.integers(1, 3)), min_size=1, max_size=25))
+def test_property_dedup_keeps_first_in_total_order(spark, rows):
+    data = [order(i, date=d, category=c, revenue=r, quantity=q) for i, d, c, r, q in rows]
+    df = orders_df(spark, data)
+    def norm(values):
+        return tuple(None if v is None or (not isinstance(v, str) and pd.isna(v)) else str(v) for v in values)
+
+    got = sorted((norm(r) for r in cleaning.dedup_orders(df.repartition(3)).collect()), key=repr)
+    pdf = df.toPandas()
+    want_pdf = pdf.sort_values(DEDUP_ORDER, na_position="last", kind="mergesort").drop_duplicates(
+        "order_id", keep="first"
+    )
+    want = sorted((norm(r) for r in want_pdf.itertuples(index=False)), key=repr)
+    assert got == want
