@@ -137,3 +137,23 @@ def test_incremental_query_runs_outside_the_repo_folder(tmp_path):
         capture_output=True, text=True, timeout=600,
     )
     assert "ROWS 5" in out.stdout, out.stderr[-2000:]
+
+
+def test_refresh_cli_both_modes(spark):
+    from kpiforge.operators import metrics
+    from kpiforge.session import materialize
+    from kpiforge.streaming.__main__ import main
+
+    raw = materialize(conform_test_tables(spark, SF_TINY), "cli_raw")
+    base = scratch_path(spark, "refresh_cli")
+    raw.repartition(2).write.parquet(f"{base}/inbox")
+    t = OrderTables(raw, as_of=AS_OF)
+    t.medians.write.parquet(f"{base}/medians")
+    exact = main(["--inbox", f"{base}/inbox", "--out", f"{base}/exact", "--as-of", AS_OF,
+                  "--available-now", "--max-files-per-trigger", "1"])
+    got = spark.read.parquet(f"{exact}/vw_category_performance")
+    assert _rows(got) == _rows(metrics.vw_category_performance(t.clean))
+    inc = main(["--inbox", f"{base}/inbox", "--out", f"{base}/inc", "--mode", "incremental",
+                "--medians", f"{base}/medians", "--watermark", "3650 days", "--as-of", AS_OF,
+                "--available-now"])
+    assert spark.read.parquet(f"{inc}/vw_regional_sales").count() == 5
