@@ -35,7 +35,8 @@ def run_etl(
         partition_by_month=partition_by_month,
     )
     if stamp is None:
-        stamp = bundle_stamp(as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of)))
+        when = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+        stamp = bundle_stamp(when)
     tables: dict[str, DataFrame] = {
         "clean_orders": t.clean,
         "category_median": t.medians,
@@ -45,7 +46,6 @@ def run_etl(
         **views.build_views(t.raw, t.clean, as_of),
     }
     paths = write_bundle(tables, out_dir, stamp, fmt=fmt)
-    paths.update(
-        {f"report/{k}": v for k, v in write_bundle(report.report_tables(t), f"{out_dir}/{stamp}", "report", fmt=fmt).items()}
-    )
+    sheets = write_bundle(report.report_tables(t), f"{out_dir}/{stamp}", "report", fmt=fmt)
+    paths.update({f"report/{k}": v for k, v in sheets.items()})
     return paths
