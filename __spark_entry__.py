@@ -24,6 +24,20 @@ from kpiforge.sources.orders import conform_test_tables
 from kpiforge.streaming.incremental import refresh_incremental_once
 from kpiforge.streaming.refresh import refresh_once
 
+# Queries of the optional subpackage and of the corpus pipeline: there only if both can be imported.
+try:
+    import corpus_pipeline
+    from kpiforge.llm.registry import ORACLES as EXTRA_ORACLES
+    from kpiforge.llm.registry import QUERIES as EXTRA_QUERIES
+
+    EXTRA_QUERIES = EXTRA_QUERIES | {"pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        EXTRA_ORACLES = EXTRA_ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "kpiforge.llm", "kpiforge.llm.registry"):
+        raise
+    EXTRA_QUERIES, EXTRA_ORACLES = {}, {}
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 # Parameters of the registered queries (fixed so results are repeatable).
@@ -133,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # incremental refresh (watermark dedup, stream-static medians, HLL
         # customers): first-arrival semantics, so no SQL oracle (rows-only)
         "incremental_regional_sales": _incremental("vw_regional_sales"),
+        **EXTRA_QUERIES,
     }
 
 
@@ -466,4 +481,5 @@ FROM filtered WHERE region IS NOT NULL GROUP BY region""",
         + f"SELECT category, COUNT(order_id) AS total_orders, {_money('SUM(revenue)')} AS total_revenue, "
         f"{_avg('revenue')} AS avg_order_value, CAST(SUM(quantity) AS BIGINT) AS total_units_sold "
         f"FROM clean WHERE {_COMPLETED} GROUP BY category",
+        **EXTRA_ORACLES,
     }
