@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import lang_id, line_dedup
+from kpiforge.llm import best_fit, lang_id, line_dedup
 from kpiforge.llm.common import ensure_checkpoint_dir
 
 
@@ -16,6 +16,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _vocabulary(name: str) -> tuple[str, str]:
+    """Path of a public vocabulary file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(_read(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -47,6 +58,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
