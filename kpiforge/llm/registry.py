@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, jaccard_join, lang_id, line_dedup
+from kpiforge.llm import best_fit, jaccard_join, lang_id, line_dedup, sharding
 from kpiforge.llm.common import ensure_checkpoint_dir
 
 
@@ -27,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(_read(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"))
 
 
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
