@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, jaccard_join, lang_id, line_dedup, sharding
+from kpiforge.llm import best_fit, cover_tree, jaccard_join, lang_id, line_dedup, sharding
 from kpiforge.llm.common import ensure_checkpoint_dir
 
 
@@ -27,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(_read(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.json"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
 
@@ -48,6 +52,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), n AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON v.vec_id = least.x LEFT JOIN n ON v.vec_id = n.x
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -92,9 +114,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
-ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
