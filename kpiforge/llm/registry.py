@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, cover_tree, jaccard_join, lang_id, line_dedup, sharding
+from kpiforge.llm import best_fit, cover_tree, jaccard_join, lang_id, line_dedup, sharding, warc
 from kpiforge.llm.common import ensure_checkpoint_dir
 
 
@@ -31,6 +31,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    return warc.read_archives(warc.write_archives(_read(spark, sf_dir, "pages"), folder), folder)
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
 
@@ -70,6 +75,19 @@ SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, v.vec_id
 FROM v JOIN least ON v.vec_id = least.x LEFT JOIN n ON v.vec_id = n.x
 """
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keep FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, CAST(i // 8 * 10 + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -115,9 +133,10 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_warc": op3_warc,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
