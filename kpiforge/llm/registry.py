@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, cover_tree, jaccard_join, lang_id, line_dedup, sharding, warc
+from kpiforge.llm import best_fit, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, warc
 from kpiforge.llm.common import ensure_checkpoint_dir
+from kpiforge.session import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +62,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as matrices, then read back: a row per sequence with the documents and pieces in it."""
+    docs = _read(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "token-matrices")
+    index = token_output.write_token_matrices(docs, folder, *_vocabulary("byte_bpe_50k.json"))
+    read = token_output.read_checksums(index, folder)
+    return read.select(
+        F.monotonically_increasing_id().alias("sequence_id"), "doc_ids", "pieces", "starts", "cu_seqlens", "position_resets", "n_tokens", "ids_crc32"
+    )
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -135,8 +151,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_warc": op3_warc,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_bpe": op5_bpe,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
+    "op10_token_output": op10_token_output,
 }
 ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
