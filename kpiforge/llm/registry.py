@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, warc
+from kpiforge.llm import best_fit, bm25, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, warc
 from kpiforge.llm.common import ensure_checkpoint_dir
 from kpiforge.session import scratch_path
 
@@ -49,6 +49,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -153,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_bpe": op5_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_bm25_search": op7_bm25_search,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
