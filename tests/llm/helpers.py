@@ -1,0 +1,108 @@
+"""Plain brute-force versions that the operators are held against."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def roots(n, links):
+    """Smallest reachable position for each of 0..n-1."""
+    label = list(range(n))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def jaccard_roots(texts, percent=80):
+    sets = [shingles(t) for t in texts]
+    links = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                links.append((i, j))
+    return [len(s) for s in sets], roots(len(texts), links)
+
+
+def dedup_lines(rows, min_chars=20, min_docs=3):
+    """``rows``: (id, text); returns (text, n_lines, n_dropped) of each."""
+
+    def key(line):
+        return line.strip(BLANK).translate(UPPER)
+
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(i)
+    keep = {k: max(ids, key=lambda x: (x is not None, x or 0)) for k, ids in holders.items() if len(ids) >= min_docs}
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in keep or keep[key(x)] == i]
+        out.append((None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def best_fit_decreasing(sizes, capacity):
+    import bisect
+
+    gaps, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        if at < len(gaps):
+            room = gaps.pop(at)
+        else:
+            room, n = capacity, n + 1
+        bisect.insort(gaps, room - size)
+    return n
+
+
+def prose(seed, n_words, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join(f"w{int(r.random() ** 2 * vocabulary)}" for _ in range(n_words))
+
+
+def bm25(docs, queries, top, k1=1.2, b=0.75):
+    import math
+
+    bags = [Counter(words(t)) for _, t in docs]
+    n = len(docs)
+    df = Counter(w for bag in bags for w in bag)
+    mean = sum(sum(bag.values()) for bag in bags) / max(1, n)
+    out = {}
+    for q, text in queries:
+        asked = set(words(text))
+        found = []
+        for (i, _), bag in zip(docs, bags):
+            length = sum(bag.values())
+            score = sum(
+                math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * (k1 + 1) / (bag[w] + k1 * (1 - b + b * length / mean))
+                for w in asked
+                if w in bag
+            )
+            if score > 0:
+                found.append((-round(score, 9), i is None, i, score))
+        out[q] = [(i, s) for _, _, i, s in sorted(found, key=lambda x: x[:2] + ((x[2],) if x[2] is not None else ()))[:top]]
+    return out

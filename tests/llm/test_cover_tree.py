@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from kpiforge.llm import cover_tree
+from tests.llm import helpers
+
+
+def brute(rows, min_cosine=0.98):
+    unit = []
+    for _, v, label in rows:
+        ok = v is not None and len(v) > 0 and None not in v and label is not None and np.isfinite(np.array(v, float)).all() and any(v)
+        x = np.array(v, float) if ok else None
+        unit.append(x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) if ok else None)
+    links = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= min_cosine
+    ]
+    root = helpers.roots(len(rows), links)
+    n = np.zeros(len(rows), int)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    least: dict = {}
+    for (i, _, _), c in zip(rows, root):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return [(i, int(k), least.get(c), i is not None and least.get(c) == i) for (i, _, _), k, c in zip(rows, n, root)]
+
+
+def expect(spark, rows):
+    df = spark.createDataFrame([(i, v, c, "z", 3) for i, v, c in rows], "vec_id long, embedding array<double>, label int, print string, pid int")
+    out = cover_tree.near_duplicates(df.repartition(3))
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [1.0, nan], 1), (6, [inf, 1.0], 1),
+        (7, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (9, [2.0, 0.0], 1), (10, [1.0, 0.0], 2), (11, [1.0, 0.0, 0.0], 1),
+        (12, [1.0, 0.2], 1), (13, [1.0, 0.21], 1), (13, [1.0, 0.21], 1), (None, [1.0, 0.01], 1), (None, [0.0, 5.0], 7),
+        (14, [-1.0, 0.0], 1), (15, [-0.0, 1.0], 3), (16, [0.0, 1.0], 3), (17, [1e-200, 0.0], 1), (18, [1e200, 0.0], 1),
+    ]
+    expect(spark, rows)
+    expect(spark, [])
+
+
+def clustered(n, seed, dim=8):
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(max(2, n // 5), dim))
+    x = base[r.integers(0, len(base), n)] + r.normal(size=(n, dim)) * 0.1 * r.random((n, 1))
+    return x
+
+
+@pytest.mark.parametrize("leaf", [10_000, 40])
+def test_against_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(cover_tree, "LEAF_POINTS", leaf)
+    monkeypatch.setattr(cover_tree, "GROUP_POINTS", 60)
+    r = np.random.default_rng(2)
+    x = clustered(420, 1)
+    rows = [(i, v.tolist(), int(r.choice([0, 0, 0, 1, 2]))) for i, v in enumerate(x)]
+    rows += [(1000 + i, x[5].tolist(), 0) for i in range(50)]  # one vector many times
+    rows += [(2000 + i, (x[6] + 1e-9 * i).tolist(), 0) for i in range(80)]  # hardly different ones
+    expect(spark, rows)
+
+
+def test_dual_traversal():
+    for n in (1, 2, 50, 400):
+        x = clustered(n, n)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = cover_tree.dual_traversal(x, None, 0.98)
+        want = {tuple(p) for p in np.argwhere(np.triu(x @ x.T >= 0.98, 1)).tolist()}
+        assert sorted(tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())) == sorted(want)
+        if n > 1:
+            i, j = cover_tree.dual_traversal(x[: n // 2], x[n // 2 :], 0.98)
+            assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, np.argwhere(x[: n // 2] @ x[n // 2 :].T >= 0.98).tolist()))
+
+
+def test_tree_levels_cover_and_nest():
+    x = clustered(300, 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, radius, above = cover_tree.Tree(x), cover_tree.FIRST_RADIUS, None
+    for node, centres, far, parent in tree.levels[1:]:
+        assert (far <= radius + 1e-12).all()
+        assert (node[centres] == np.arange(len(centres))).all()
+        if above is not None:
+            assert set(above[1].tolist()) <= set(centres.tolist())  # nested
+            assert (parent[node] == above[0]).all()
+        above, radius = (node, centres), radius / 2
