@@ -71,6 +71,12 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in (ITEM, GAP):
         rest = free & (kind == k)
         rank[rest] = np.arange(rest.sum())
+    # smaller free gaps that follow before the next item: `left` items never need more of a run than its last `left`
+    loose = free & (kind == GAP)
+    after = np.cumsum(loose[::-1])[::-1] - loose
+    runs = np.flatnonzero(kind == ITEM)
+    until = np.append(after[runs] if len(runs) else [], 0)[np.searchsorted(runs, np.arange(len(size)))]
+    tail = (after - until).astype(np.int64)
     keep = free | (mate >= 0)  # a taken gap is told by the item that took it
     got = np.maximum(mate, 0)
     yield pa.RecordBatch.from_arrays(
@@ -80,14 +86,29 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(uid[keep]),
             pa.array(size[keep]),
             pa.array(rank[keep]),
+            pa.array(tail[keep]),
             pa.array(uid[got][keep]),
             pa.array(size[got][keep]),
         ],
-        names=["part", "kind", "uid", "size", "rank", "gap_uid", "gap_size"],
+        names=["part", "kind", "uid", "size", "rank", "tail", "gap_uid", "gap_size"],
     )
 
 
-_SWEPT = "part int, kind int, uid long, size int, rank long, gap_uid long, gap_size int"
+_SWEPT = "part int, kind int, uid long, size int, rank long, tail long, gap_uid long, gap_size int"
+
+
+def _left_over(taken: dict[int, int], spare: dict[int, int], left: int):
+    """What a round left: items from rank ``taken[part]`` on, and gaps below rank ``spare[part]`` that may be of use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, kind, rank, tail = (b.column(c).to_numpy() for c in ("part", "kind", "rank", "tail"))
+            low = np.array([taken.get(p, 0) for p in part.tolist()], dtype=np.int64)
+            high = np.array([spare.get(p, 0) for p in part.tolist()], dtype=np.int64)
+            keep = np.where(kind == ITEM, rank >= low, (rank < high) & (tail < left))
+            yield b.filter(pa.array(keep)).select(["part", "kind", "uid", "size", "rank"])
+
+    return run
 
 
 def _across(left: dict[int, tuple[int, int]]) -> tuple[list[tuple], dict[int, int], dict[int, int]]:
@@ -144,8 +165,8 @@ def _bundle(target: int):
 
 
 def _bundled(small: DataFrame, target: int) -> DataFrame:
-    """Join runs of tiny documents into bundles of about ``target``: ``(uid, size, lead, inner)``."""
-    spread = small.select("size", "uid").sortWithinPartitions(F.col("size").desc())
+    """Join runs of small documents into bundles of about ``target``: ``(uid, size, lead, inner)``."""
+    spread = small.select(F.col("size").cast("int").alias("size"), "uid").sortWithinPartitions(F.col("size").desc())
     return written(spread.mapInArrow(_bundle(target), "uid long, size int, lead long, inner int"), "pack-bundles")
 
 
@@ -160,91 +181,97 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets are gapless from 0.  Sizes must be in 1..capacity and uids
     unique.  An empty table gives an empty table.
 
-    Tiny documents, where they outnumber four times what the sequences can
-    take one by one, are first joined into bundles of up to an eighth of the
-    capacity, so the number of rounds depends on neither table nor sizes.
+    Where documents outnumber the gaps by more than two to one, small ones
+    are joined into bundles (of up to an eighth of the capacity) that are
+    placed as one, so a few gaps do not take many documents one a round.
     """
     spark = items.sparkSession
     whole = items.filter(F.col("size") == capacity)
     rest = items.filter(F.col("size") < capacity)
+    zero = F.lit(0).cast("long").alias("offset")
     opens = F.col("size") * 2 > capacity
-    placed = [whole.select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    placed.append(rest.filter(opens).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    placed = [whole.select("uid", F.col("uid").alias("sequence_id"), zero)]
+    placed.append(rest.filter(opens).select("uid", F.col("uid").alias("sequence_id"), zero))
     gaps = rest.filter(opens).select("uid", (F.lit(capacity) - F.col("size")).cast("int").alias("size"))
     todo = rest.filter(~opens).select("uid", "size")
 
-    tiny = F.col("size") <= capacity // 16
-    facts = rest.agg(
-        F.count_if(opens).alias("large"),
-        F.count_if(~opens).alias("small"),
-        F.coalesce(F.sum(F.when(~opens, F.col("size"))), F.lit(0)).alias("total"),
-    ).first()
-    left = facts["small"]
-    members = None
-    if left > 4 * (facts["large"] + facts["total"] // capacity + 1):
-        members = _bundled(todo.filter(tiny), capacity // 16)
-        bundles = members.groupBy(F.col("lead").alias("uid")).agg(F.sum("size").cast("int").alias("size"))
-        todo = written(todo.filter(~tiny).unionByName(bundles), "pack-todo")
-        left = todo.count()
-    n_gaps = facts["large"]
+    by_size = {(r["kind"], r["size"]): r["count"] for r in rest.groupBy(F.when(opens, GAP).otherwise(ITEM).alias("kind"), F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size")).count().collect()}
+    left = sum(k for (kind, _), k in by_size.items() if kind == ITEM)
+    n_gaps = sum(k for (kind, _), k in by_size.items() if kind == GAP)
+    bundles: list[DataFrame] = []
 
     while left:
+        total = sum(n * k for (kind, n), k in by_size.items() if kind == ITEM)
+        largest = max([n for (kind, n), k in by_size.items() if kind == GAP and k], default=capacity)
+        target = min(capacity // 8, largest, total // max(1, n_gaps, -(-total // capacity))) // 2
+        least = min(n for (kind, n), k in by_size.items() if kind == ITEM and k)
+        if left > 2 * max(n_gaps, -(-total // capacity)) and target >= 2 * least:
+            joined = _bundled(todo.filter(F.col("size") <= target), target)
+            bundles.append(joined)
+            todo = todo.filter(F.col("size") > target).unionByName(joined.groupBy(F.col("lead").alias("uid")).agg(F.sum("size").cast("int").alias("size")))
+            todo = written(todo.select("uid", F.col("size").cast("int").alias("size")), "pack-todo")
         parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), (left + n_gaps) // ROWS_PER_PARTITION + 1))
         events = todo.select("uid", F.col("size").cast("int").alias("size"), F.lit(ITEM).alias("kind")).unionByName(
             gaps.select("uid", "size", F.lit(GAP).alias("kind"))
         )
         order = [F.col("size").desc(), F.col("kind").asc(), F.xxhash64("uid").asc()]
         swept = written(events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "pack-swept")
-        counts = swept.filter(F.col("rank") >= 0).groupBy("part").agg(F.count_if(F.col("kind") == ITEM).alias("i"), F.count_if(F.col("kind") == GAP).alias("g"))
+        loose = swept.filter(F.col("rank") >= 0)
+        counts = loose.groupBy("part").agg(F.count_if(F.col("kind") == ITEM).alias("i"), F.count_if(F.col("kind") == GAP).alias("g"))
         free = {r["part"]: (r["i"], r["g"]) for r in counts.collect()}
         segments, taken, spare = _across(free)
 
         found = swept.filter(F.col("rank") < 0).select("uid", "size", "gap_uid", "gap_size")
         if segments:
             seg = _numbers(spark, segments, "part int, first long, end long, gap_part int, gap_top long")
-            loose = swept.filter((F.col("rank") >= 0) & (F.col("kind") == ITEM)).select("part", "rank", "uid", "size")
-            far = loose.join(seg, "part").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+            far = loose.filter(F.col("kind") == ITEM).select("part", "rank", "uid", "size").join(seg, "part")
+            far = far.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
             far = far.select("uid", "size", "gap_part", (F.col("gap_top") - F.col("rank") + F.col("first")).alias("gap_rank"))
-            open_gaps = swept.filter((F.col("rank") >= 0) & (F.col("kind") == GAP)).select(
+            open_gaps = loose.filter(F.col("kind") == GAP).select(
                 F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("uid").alias("gap_uid"), F.col("size").alias("gap_size")
             )
             found = found.unionByName(far.join(open_gaps, ["gap_part", "gap_rank"]).select("uid", "size", "gap_uid", "gap_size"))
         found = written(found, "pack-found")
         placed.append(found.select("uid", F.col("gap_uid").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).cast("long").alias("offset")))
 
-        cut = _numbers(spark, [(p, taken[p], spare[p]) for p in free] or [(-1, 0, 0)], "part int, taken long, spare long")
-        over = swept.filter(F.col("rank") >= 0).join(cut, "part")
-        unplaced = over.filter((F.col("kind") == ITEM) & (F.col("rank") >= F.col("taken")))
-        gaps = (
-            over.filter((F.col("kind") == GAP) & (F.col("rank") < F.col("spare"))).select("uid", "size")
-        ).unionByName(found.filter("gap_size > size").select(F.col("gap_uid").alias("uid"), (F.col("gap_size") - F.col("size")).alias("size")))
-        largest = gaps.agg(F.max("size")).first()[0] or 0
-        need = unplaced.filter(F.col("size") > largest).agg(F.sum("size")).first()[0] or 0
-        new = -(-need // capacity)
+        left = sum(i - taken[p] for p, (i, _) in free.items())
+        rest = written(loose.mapInArrow(_left_over(taken, spare, left), "part int, kind int, uid long, size int, rank long"), "pack-rest")
+        renewed = found.filter("gap_size > size").select(F.col("gap_uid").alias("uid"), (F.col("gap_size") - F.col("size")).alias("size"))
+        # Sizes of what is left, in at most 2 x capacity rows: what must open, and from which size on gaps are of use.
+        sizes = rest.select("kind", "size").unionByName(renewed.select(F.lit(GAP).alias("kind"), "size")).groupBy("kind", "size")
+        by_size = {(r["kind"], r["size"]): r["count"] for r in sizes.count().collect()}
+        largest = max([n for kind, n in by_size if kind == GAP], default=0)  # no gap holds a larger one
+        new = -(-sum(n * k for (kind, n), k in by_size.items() if kind == ITEM and n > largest) // capacity)
+        left -= new
 
         # the first `new` unplaced items, from the largest on, open sequences
-        opening, rows = new, []
+        opening, begin = new, {}
         for p in sorted(free):
-            k = min(opening, free[p][0] - taken[p])
-            rows.append((p, taken[p] + k))
+            begin[p] = taken[p] + min(opening, free[p][0] - taken[p])
+            opening -= begin[p] - taken[p]
+        opening = new
+        for n in sorted((n for kind, n in by_size if kind == ITEM), reverse=True):
+            k = min(opening, by_size[ITEM, n])
             opening -= k
-        ends = _numbers(spark, rows or [(-1, 0)], "part int, upto long")
-        unplaced = unplaced.join(ends, "part")
-        opened = unplaced.filter(F.col("rank") < F.col("upto"))
-        placed.append(opened.select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-        gaps = gaps.unionByName(opened.select("uid", (F.lit(capacity) - F.col("size")).alias("size")))
-        todo = unplaced.filter(F.col("rank") >= F.col("upto")).select("uid", "size")
-        left = sum(i - taken[p] for p, (i, _) in free.items()) - new
-        if left:
-            least = todo.agg(F.min("size")).first()[0]
-            gaps = gaps.filter(F.col("size") >= least)
-            n_gaps = gaps.count()
+            by_size[ITEM, n] -= k
+            by_size[GAP, capacity - n] = by_size.get((GAP, capacity - n), 0) + k
+        todo, gaps = rest.filter(F.col("kind") == ITEM), rest.filter(F.col("kind") == GAP).select("uid", "size").unionByName(renewed)
+        if new:
+            todo = todo.join(_numbers(spark, list(begin.items()), "part int, upto long"), "part")
+            opened = todo.filter("rank < upto").select("uid", "size")
+            todo = todo.filter("rank >= upto")
+            placed.append(opened.select("uid", F.col("uid").alias("sequence_id"), zero))
+            gaps = gaps.unionByName(opened.select("uid", (F.lit(capacity) - F.col("size")).alias("size")))
+        todo = todo.select("uid", "size")
+        least = min([n for (kind, n), k in by_size.items() if kind == ITEM and k], default=capacity)
+        gaps = gaps.filter(F.col("size") >= least)
+        n_gaps = sum(k for (kind, n), k in by_size.items() if kind == GAP and n >= least)
 
     out = placed[0]
     for df in placed[1:]:
         out = out.unionByName(df)
-    if members is not None:
-        inside = out.join(members.select(F.col("lead").alias("uid"), F.col("uid").alias("member"), "inner"), "uid", "left")
+    for joined in reversed(bundles):
+        inside = out.join(joined.select(F.col("lead").alias("uid"), F.col("uid").alias("member"), "inner"), "uid", "left")
         out = inside.select(F.coalesce("member", "uid").alias("uid"), "sequence_id", (F.col("offset") + F.coalesce("inner", F.lit(0))).alias("offset"))
     return out
 
