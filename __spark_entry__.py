@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,9 @@ from kpiforge.operators import cleaning, filters, metrics
 from kpiforge.plans import report, views
 from kpiforge.plans.tables import FilterSpec, OrderTables
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
-from kpiforge.sinks.files import export_csv, read_exported_orders
+from kpiforge.sinks.files import export_csv, read_exported_orders, write_bundle
 from kpiforge.sources.orders import conform_test_tables
-from kpiforge.streaming.incremental import refresh_incremental_once
+from kpiforge.streaming.incremental import keep_first_arrivals, refresh_incremental_once
 from kpiforge.streaming.refresh import refresh_once
 
 # Queries of the optional subpackage and of the corpus pipeline: there only if both can be imported.
@@ -144,9 +144,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refresh_category_performance": lambda spark, sf_dir: refresh_once(
             spark, _tables(spark, sf_dir).raw, as_of=AS_OF
         ),
-        # incremental refresh (watermark dedup, stream-static medians, HLL
-        # customers): first-arrival semantics, so no SQL oracle (rows-only)
+        # incremental refresh: all raw rows arrive, the batch job's kept copies first
         "incremental_regional_sales": _incremental("vw_regional_sales"),
+        "incremental_data_quality": _incremental("vw_data_quality"),
+        "incremental_issue_log": _incremental("issue_log"),
+        # the dashboard's tables on the filtered rows
+        **{f"dashboard_{k}": _q(lambda t, fn=fn: fn(t.filtered)) for k, fn in _DASHBOARD.items()},
+        "dashboard_top_orders": _q(lambda t: _public(_with_position(metrics.vw_top_orders(t.filtered)))),
+        # SQL over the registered views, and a report sheet read back from the written bundle
+        "sql_over_views": _sql_over_views,
+        "bundle_category_sheet": _bundle_sheet("category"),
+        "bundle_kpi_cards": _bundle_sheet("kpi_cards"),
+        "bundle_raw_data": _bundle_sheet("raw_data"),
         **EXTRA_QUERIES,
     }
 
@@ -154,7 +163,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _tables(spark, sf_dir)
-        return refresh_incremental_once(spark, t.raw, t.medians, as_of=AS_OF)[name]
+        return refresh_incremental_once(spark, keep_first_arrivals(t.raw, t.medians), t.medians, as_of=AS_OF)[name]
+
+    return run
+
+
+_DASHBOARD: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "revenue_by_month": metrics.revenue_by_month,
+    "revenue_by_category": metrics.revenue_by_category,
+    "aov_by_category": metrics.aov_by_category,
+    "orders_by_region": metrics.orders_by_region,
+    "status_distribution": metrics.status_distribution,
+    "revenue_by_payment": metrics.revenue_by_payment,
+    "category_region_pivot": metrics.category_region_pivot,
+    "category_table_formatted": report.category_table_formatted,
+    "preview_orders": lambda df: _public(metrics.preview_orders(df)),
+    "preview_caption": metrics.preview_caption,
+}
+
+
+def _with_position(top: DataFrame) -> DataFrame:
+    """The ten rows with their position, so their order is part of the result."""
+    order = [F.col("revenue").desc_nulls_first(), F.col("order_id").asc_nulls_last()]
+    return top.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)))
+
+
+def _sql_over_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    views.register_views(t.raw, t.clean, AS_OF)
+    return spark.sql(
+        "SELECT region, total_orders, total_revenue, (SELECT COUNT(*) FROM vw_category_performance) AS categories "
+        "FROM vw_regional_sales WHERE total_orders > 0"
+    )
+
+
+def _bundle_sheet(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        sheet = report.report_tables(_tables(spark, sf_dir))[name]
+        paths = write_bundle({name: sheet}, scratch_path(spark, "bundle"), "20010615_0000")
+        return _public(spark.read.parquet(paths[name]))
 
     return run
 
@@ -358,8 +406,9 @@ def oracle_sql() -> dict[str, str]:
         f'CAST(revenue AS DOUBLE) AS "Revenue"' if c == "revenue" else f'{c} AS "{c.replace("_", " ").title()}"'
         for c in _COLS
     )
+    top_cols = ", ".join(f"{c} ASC NULLS LAST" for c in _COLS[1:] if c != "revenue")
     sev = "CASE WHEN issue_count > 0 AND issue_type NOT LIKE '%Records%' THEN 'warn' ELSE 'ok' END"
-    return {
+    out = {
         "raw_orders": b + f"SELECT {_PUB} FROM raw",
         "category_median": b + "SELECT category, CAST(median_revenue AS DOUBLE) AS median_revenue FROM med",
         "fill_missing_median": b + f"SELECT {_PUB} FROM filled",
@@ -481,5 +530,21 @@ FROM filtered WHERE region IS NOT NULL GROUP BY region""",
         + f"SELECT category, COUNT(order_id) AS total_orders, {_money('SUM(revenue)')} AS total_revenue, "
         f"{_avg('revenue')} AS avg_order_value, CAST(SUM(quantity) AS BIGINT) AS total_units_sold "
         f"FROM clean WHERE {_COMPLETED} GROUP BY category",
-        **EXTRA_ORACLES,
+        "dashboard_top_orders": b
+        + f"SELECT order_id, order_date, category, region, CAST(revenue AS DOUBLE) AS revenue, quantity, status, "
+        f"CAST(ROW_NUMBER() OVER (ORDER BY revenue DESC NULLS FIRST, order_id ASC NULLS LAST, {top_cols}) AS INTEGER) AS position "
+        f"FROM filtered WHERE {_COMPLETED} ORDER BY position LIMIT 10",
+        "sql_over_views": b
+        + f"SELECT region, COUNT(order_id) AS total_orders, {_money('SUM(revenue)')} AS total_revenue, "
+        f"(SELECT COUNT(DISTINCT category) FROM clean WHERE {_COMPLETED}) AS categories "
+        "FROM clean GROUP BY region HAVING COUNT(order_id) > 0",
     }
+    out["incremental_regional_sales"] = out["vw_regional_sales"]
+    out["incremental_data_quality"] = out["vw_data_quality"]
+    out["incremental_issue_log"] = out["issue_log"]
+    out["bundle_category_sheet"] = out["report_category"]
+    out["bundle_kpi_cards"] = out["kpi_cards"]
+    out["bundle_raw_data"] = out["report_raw_data"]
+    for k in _DASHBOARD:
+        out[f"dashboard_{k}"] = out[k].replace("FROM clean ", "FROM filtered ")
+    return out | EXTRA_ORACLES

@@ -47,10 +47,33 @@ def pandas_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
+def exact_ratio(num: Column, den: Column, num_scale: int = 0, den_scale: int = 0) -> Column:
+    """``num / den`` rounded once, half away from zero, to 2 decimals, as DOUBLE.
+
+    Both sides become integers (``*_scale`` decimal digits each) and are
+    divided as integers, so no intermediate rounding can tip a half cent.
+    NULL if either is missing or ``den`` is 0.
+    """
+    n = _whole(num, num_scale) * F.lit(10 ** max(0, den_scale - num_scale)).cast("decimal(6,0)")
+    d = _whole(den, den_scale) * F.lit(10 ** max(0, num_scale - den_scale)).cast("decimal(6,0)")
+    n2, d2 = F.abs(n) * F.lit(200).cast("decimal(3,0)") + F.abs(d), F.abs(d) * F.lit(2).cast("decimal(1,0)")
+    cents = F.call_function("div", n2, d2).cast("double") / F.lit(100.0)
+    return F.when(den != 0, F.when((n < 0) != (d < 0), -cents).otherwise(cents) + F.lit(0.0))
+
+
+def _whole(c: Column, scale: int) -> Column:
+    return (c.cast(f"decimal(28,{scale})") * F.lit(10**scale).cast("decimal(6,0)")).cast("decimal(28,0)")
+
+
+def avg_money(c: Column | str) -> Column:
+    """Average of a money column (4 decimal digits at most), rounded once; NULL without values."""
+    c = F.col(c) if isinstance(c, str) else c
+    return exact_ratio(F.sum(c), F.count(c), num_scale=4)
+
+
 def pct(part: Column, whole: Column) -> Column:
-    """``round(100 * part / whole, 2)`` in exact decimal arithmetic; NULL if whole is 0."""
-    num = part.cast("decimal(20,0)") * F.lit(100)
-    return F.when(whole != 0, money(num / whole.cast("decimal(20,0)")))
+    """``100 * part / whole`` of counts, rounded once to 2 decimals; NULL if whole is 0."""
+    return exact_ratio(part * 100, whole)
 
 
 def month_text(c: Column | str) -> Column:

@@ -7,7 +7,6 @@ count future-dated rows.  Each step is a lazy ``DataFrame -> DataFrame``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from kpiforge.functions.expressions import as_of_literal, pct
 from kpiforge.operators.joins import BROADCAST_MAX_ROWS, fits_broadcast, salted_left_join
 from kpiforge.operators.median import group_median
 from kpiforge.operators.stats import named_counts, rows_of
+from kpiforge.session import materialize
 from kpiforge.schema import (
     CLEAN_REVENUE_TYPE,
     DEDUP_ORDER,
@@ -36,7 +36,8 @@ def category_median(
 
     Exact median of ``CAST(revenue AS DOUBLE)`` per category (negatives and
     future rows included, as in the reference), computed by distributed
-    selection so a hot category never lands in one task.  With
+    selection so a hot category never lands in one task.  The call runs the
+    jobs and returns the written table (one row per category).  With
     ``approx_accuracy`` (off by default) a single ``percentile_approx``
     pass is used instead: bounded sketch memory, rank error at most
     ``rows / approx_accuracy``, and the result is an actual data value (no
@@ -48,8 +49,10 @@ def category_median(
         )
     else:
         med = group_median(raw, "category", "revenue", **median_options)
-    return med.select(
-        "category", F.col("median").cast(CLEAN_REVENUE_TYPE).alias("median_revenue")
+    # one row per category, written: its size check and every use read the
+    # small table, and no frame stays cached
+    return materialize(
+        med.select("category", F.col("median").cast(CLEAN_REVENUE_TYPE).alias("median_revenue")), "category_median"
     )
 
 
@@ -59,22 +62,23 @@ def fill_missing_median(
     """Replace missing revenue by the median of its category.
 
     The median table (one row per category) is broadcast after a size
-    check; beyond ``broadcast_rows`` categories a salted shuffle join is
-    used.  Rows with a NULL category keep their revenue (the reference
+    check; beyond ``broadcast_rows`` categories the rows without revenue go
+    through a salted shuffle join.  Rows with a NULL category keep their revenue (the reference
     would blank it; we do not reproduce that data loss).
     """
     med = medians if medians is not None else category_median(raw)
-    # one row per category; persisted so the size check and the join share
-    # one computation of the median
-    med = med.select(
-        F.col("category").alias("_mcat"), F.col("median_revenue").alias("_med")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    med = med.select(F.col("category").alias("_mcat"), F.col("median_revenue").alias("_med"))
     if fits_broadcast(med, broadcast_rows):
         joined = raw.join(F.broadcast(med), raw["category"] == med["_mcat"], "left")
     else:
-        # too many categories to broadcast: a salted join keeps a category
-        # holding a third of the rows from landing in one task
-        joined = salted_left_join(raw, med, "category", "_mcat", ORDER_COLUMNS)
+        # too many categories to broadcast.  Only rows without revenue need the
+        # median: those alone are joined (salted, so a hot category is spread),
+        # the others keep their place and are not shuffled
+        missing = F.col("revenue").isNull()
+        joined = salted_left_join(raw.where(missing), med, "category", "_mcat", ORDER_COLUMNS)
+        joined = joined.select(*ORDER_COLUMNS, "_med").unionByName(
+            raw.where(~missing).select(*ORDER_COLUMNS, F.lit(None).cast(CLEAN_REVENUE_TYPE).alias("_med"))
+        )
     return joined.select(
         *[
             F.coalesce(F.col("revenue").cast(CLEAN_REVENUE_TYPE), F.col("_med")).alias("revenue")
@@ -101,9 +105,14 @@ def dedup_orders(df: DataFrame) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def is_kept() -> Column:
+    """Revenue is not negative, or still missing."""
+    return F.col("revenue").isNull() | (F.col("revenue") >= 0)
+
+
 def drop_negative(df: DataFrame) -> DataFrame:
     """Drop rows with negative revenue; rows still missing revenue are kept."""
-    return df.where(F.col("revenue").isNull() | (F.col("revenue") >= 0))
+    return df.where(is_kept())
 
 
 def clean_orders(raw: DataFrame, medians: DataFrame | None = None) -> DataFrame:
@@ -145,6 +154,11 @@ def issue_log(raw: DataFrame, deduped: DataFrame, as_of=None) -> DataFrame:
             ),
         ]
     )
+    return issue_rows(counts)
+
+
+def issue_rows(counts: DataFrame) -> DataFrame:
+    """The issue log from one row of counts (``raw_rows``, ``missing``, ``dedup_rows``, ``negative``, ``clean_rows``, ``future``)."""
     lit = F.lit
     rows = [
         [lit(1), lit(ISSUE_MISSING[0]), F.col("missing"), lit(ISSUE_MISSING[1])],
@@ -182,8 +196,13 @@ def null_profile(raw: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_total"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in ORDER_COLUMNS],
     )
+    return null_rows(one, F.col("_total"))
+
+
+def null_rows(one: DataFrame, total: Column, prefix: str = "") -> DataFrame:
+    """The null profile from one row of missing counts, ``<prefix><column>`` each."""
     rows = [
-        [F.lit(i + 1), F.lit(c), F.col(c), F.col("_total")] for i, c in enumerate(ORDER_COLUMNS)
+        [F.lit(i + 1), F.lit(c), F.col(f"{prefix}{c}"), total] for i, c in enumerate(ORDER_COLUMNS)
     ]
     prof = rows_of(one, rows, ["column_position", "column_name", "missing_count", "_total"])
     return prof.select(
@@ -214,5 +233,10 @@ def record_funnel(raw: DataFrame, deduped: DataFrame, report_filter: Column | No
             (deduped, {"s2": F.count(F.lit(1)), "s3": F.count_if(kept), "s4": F.count_if(shown)}),
         ]
     )
-    rows = [[F.lit(i + 1), F.lit(s), F.col(f"s{i + 1}")] for i, s in enumerate(FUNNEL_STAGES)]
+    return funnel_rows(one, {s: f"s{i + 1}" for i, s in enumerate(FUNNEL_STAGES)})
+
+
+def funnel_rows(one: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The record funnel from one row of counts; ``columns``: stage -> column."""
+    rows = [[F.lit(i + 1), F.lit(s), F.col(c)] for i, (s, c) in enumerate(columns.items())]
     return rows_of(one, rows, ["stage_order", "stage", "records"])

@@ -17,7 +17,7 @@ def as_date(value: str | dt.date) -> dt.date:
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value)[:10])
+    return dt.date.fromisoformat(str(value).strip())  # a time of day or trailing text is refused
 
 
 def in_list(column: str, values: Sequence[str] | None) -> Column | None:

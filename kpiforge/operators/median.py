@@ -4,9 +4,6 @@ Spark's ``median`` merges every distinct value of a group in one task,
 which does not hold when one group carries a third of a huge table.  Here
 the median is found by distributed selection over a value histogram:
 
-0. An HLL estimate of distinct values per group picks the strategy: if
-   every group is well under ``max_group_rows``, Spark's exact
-   ``percentile`` on the rows is safe (bounded per-group map) and is used.
 1. ``hist``: count per (group, value), a partially aggregated group-by
    hashed on both columns, so a hot group spreads over all tasks and
    repeated values collapse to one row.  Per group: ``n`` values and
@@ -33,7 +30,6 @@ lineage stays short.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +39,6 @@ from kpiforge.session import materialize
 MAX_GROUP_ROWS = 1_000_000
 GRID = 200
 MAX_ROUNDS = 64
-SAFE_FRACTION = 0.8
 
 
 def _nullsafe(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,25 +72,10 @@ def group_median(
     """
     accuracy = accuracy or 20 * grid
     vals = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
-    # Cheap guard: HLL distinct estimates per group (one partially aggregated
-    # pass).  If every group is well under the bound, Spark's exact
-    # percentile runs on the rows directly; its per-group map holds at most
-    # the group's distinct values.  The estimate only picks the strategy.
-    wide_estimate = (
-        vals.groupBy("_k")
-        .agg(F.approx_count_distinct("_v", 0.05).alias("_ndv"))
-        .where(F.col("_ndv") > int(SAFE_FRACTION * max_group_rows))
-    )
-    if wide_estimate.isEmpty():
-        return vals.groupBy("_k").agg(
-            F.percentile("_v", F.lit(0.5)).alias("median")
-        ).withColumnRenamed("_k", key)
-
-    hist = (
-        vals.groupBy("_k", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # The one pass over the rows.  Written (12 to 20 bytes per distinct value of
+    # a group): the exact distinct counts pick the method, and every later step
+    # reads this table.
+    hist = materialize(vals.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")), "median_hist")
     values = hist.where(F.col("_v").isNotNull())
     state = (
         hist.groupBy("_k")
@@ -113,17 +93,19 @@ def group_median(
             F.lit(0).cast("long").alias("below"),
             "ndv",
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    state = materialize(state, "median_state")
 
     quantiles = [i / grid for i in range(grid + 1)]
     m = grid + 1
     rounds = 0
     for rounds in range(MAX_ROUNDS + 1):
         wide = state.where(F.col("ndv") > max_group_rows)
-        if rounds == MAX_ROUNDS or wide.isEmpty():
+        if wide.isEmpty():
             break
-        wide_b = size_checked_broadcast(wide)
+        if rounds == MAX_ROUNDS:
+            raise RuntimeError(f"a group still spans more than {max_group_rows} distinct values after {MAX_ROUNDS} rounds")
+        wide_b = size_checked_broadcast(wide, persist=False)
         grids = (
             _nullsafe(values, wide_b)
             .where(_in_window())
@@ -169,7 +151,7 @@ def group_median(
             ).alias("ndv"),
         )
         moved_b = size_checked_broadcast(
-            moved.withColumnRenamed("_sk", "_mk").withColumn("_moved", F.lit(True))
+            materialize(moved, "median_moved").withColumnRenamed("_sk", "_mk").withColumn("_moved", F.lit(True)), persist=False
         )
         joined = state.join(moved_b, state["_sk"].eqNullSafe(moved_b["_mk"]), "left")
         state = materialize(
@@ -191,7 +173,7 @@ def group_median(
             F.percentile("_v", F.lit(0.5), F.col("_c")).alias("median")
         ).withColumnRenamed("_k", key)
 
-    final_b = size_checked_broadcast(state.where(F.col("n") > 0))
+    final_b = size_checked_broadcast(state.where(F.col("n") > 0), persist=False)
     upto_v = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         _nullsafe(values, final_b)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.expressions import (
     as_of_literal,
+    avg_money,
+    exact_ratio,
     money,
     month_start,
     month_text,
@@ -31,6 +33,7 @@ from kpiforge.functions.expressions import (
 )
 from kpiforge.operators.filters import as_date
 from kpiforge.operators.stats import rows_of
+from kpiforge.session import materialize
 from kpiforge.schema import (
     CANCELLED,
     COMPLETED,
@@ -81,7 +84,7 @@ def kpi_aggregates(cond: Column | None = None, approx_rsd: float | None = None)
     return {
         "total_revenue": money(pandas_sum(F.when(base & is_completed(), F.col("revenue")))),
         "total_orders": rows,
-        "avg_order_value": money(F.avg(F.when(base & is_completed(), F.col("revenue")))),
+        "avg_order_value": avg_money(F.when(base & is_completed(), F.col("revenue"))),
         "cancellation_rate": pct(F.count_if(base & is_cancelled()), rows),
         "completed_orders": F.count_if(base & is_completed()),
         "unique_customers": distinct_count(F.when(base, F.col("customer_id")), approx_rsd),
@@ -139,7 +142,7 @@ def vw_revenue_trend(df: DataFrame) -> DataFrame:
         .agg(
             money(F.sum("revenue")).alias("total_revenue"),
             F.count("order_id").alias("total_orders"),
-            money(F.avg("revenue")).alias("avg_order_value"),
+            avg_money("revenue").alias("avg_order_value"),
         )
         .orderBy(F.col("month").asc_nulls_last())
     )
@@ -162,7 +165,7 @@ def aov_by_category(df: DataFrame) -> DataFrame:
     return (
         _known(completed(df), "category")
         .groupBy("category")
-        .agg(money(F.avg("revenue")).alias("avg_order_value"))
+        .agg(avg_money("revenue").alias("avg_order_value"))
         .orderBy("category")
     )
 
@@ -175,7 +178,7 @@ def vw_category_performance(df: DataFrame) -> DataFrame:
         .agg(
             F.count("order_id").alias("total_orders"),
             money(F.sum("revenue")).alias("total_revenue"),
-            money(F.avg("revenue")).alias("avg_order_value"),
+            avg_money("revenue").alias("avg_order_value"),
             F.sum("quantity").alias("total_units_sold"),
         )
         .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("category").asc_nulls_last())
@@ -191,7 +194,7 @@ def report_category(df: DataFrame) -> DataFrame:
         .agg(
             F.count("order_id").alias(h[1]),
             money(pandas_sum("revenue")).alias(h[2]),
-            money(F.avg("revenue")).alias(h[3]),
+            avg_money("revenue").alias(h[3]),
             pandas_sum("quantity").alias(h[4]),
         )
         .orderBy(F.col(f"`{h[2]}`").desc_nulls_last(), F.col(f"`{h[0]}`"))
@@ -239,7 +242,7 @@ def vw_regional_sales(df: DataFrame, approx_rsd: float | None = None) -> DataFra
         .agg(
             F.count("order_id").alias("total_orders"),
             money(F.sum("revenue")).alias("total_revenue"),
-            money(F.avg("revenue")).alias("avg_order_value"),
+            avg_money("revenue").alias("avg_order_value"),
             distinct_count(F.col("customer_id"), approx_rsd).alias("unique_customers"),
         )
         .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("region").asc_nulls_last())
@@ -257,7 +260,7 @@ def region_revenue_share(df: DataFrame) -> DataFrame:
     return g.select(
         "region",
         money("_s").alias("total_revenue"),
-        F.when(total != 0, money(F.col("_s") * 100 / total)).alias("revenue_share_pct"),
+        exact_ratio(F.col("_s") * 100, total, 4, 4).alias("revenue_share_pct"),
     ).orderBy("region")
 
 
@@ -332,17 +335,35 @@ def vw_daily_sales_30d(df: DataFrame, as_of=None) -> DataFrame:
 def category_region_pivot(df: DataFrame, regions: list[str] | None = None) -> DataFrame:
     """Category x region matrix of Completed revenue; empty cells are 0.
 
-    Pass ``regions`` to skip the extra job that finds the pivot values
-    (Spark caps discovered values at ``spark.sql.pivotMaxValues``).  Column
-    names have spaces replaced by ``_``.
+    The rows are aggregated to (category, region) sums once; without
+    ``regions`` that small aggregate is written to the shared folder and the
+    pivot values are read from it, so the orders are scanned once and
+    Spark's cap on discovered pivot values does not apply.  Column names
+    have spaces replaced by ``_``; names that would clash get ``_2``, ``_3``...
     """
-    base = _known(completed(df), "category", "region")
-    grouped = base.groupBy("category")
-    piv = grouped.pivot("region", regions) if regions else grouped.pivot("region")
-    out = piv.agg(money(pandas_sum("revenue"))).na.fill(0.0)
-    return out.select(
-        *[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in out.columns]
-    ).orderBy("category")
+    cells = (
+        _known(completed(df), "category", "region")
+        .groupBy("category", "region")
+        .agg(pandas_sum("revenue").alias("_sum"))
+    )
+    if not regions:
+        cells = materialize(cells, "pivot_cells")
+        regions = [r["region"] for r in cells.select("region").distinct().orderBy("region").collect()]
+    names, used = [], {"category"}
+    for region in regions:
+        name = base = region.replace(" ", "_")
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        names.append(name)
+    sums = [
+        money(pandas_sum(F.when(F.col("region") == region, F.col("_sum")))).alias(name)
+        for region, name in zip(regions, names)
+    ]
+    out = cells.groupBy("category")
+    return (out.agg(*sums) if sums else out.agg(F.count(F.lit(1)).alias("_n")).drop("_n")).orderBy("category")
 
 
 # --- top-k and preview -------------------------------------------------------------
@@ -403,12 +424,50 @@ def previous_window(date_from, date_to) -> tuple[dt.date, dt.date]:
     return prev_to - dt.timedelta(days=days - 1), prev_to
 
 
+def _two_window_kpis(span: DataFrame, in_cur: Column, in_prev: Column) -> DataFrame:
+    """The six KPIs of both windows as one row of DOUBLE columns ``c_*`` and ``p_*``.
+
+    One aggregate per customer (partial before its shuffle) with sums and
+    flags of both windows, then one over customers: the distinct counts are
+    sums of flags, so no row is copied per distinct expression.
+    """
+    parts = {}
+    for p, cond in (("c", in_cur), ("p", in_prev)):
+        done = cond & is_completed()
+        parts |= {
+            f"{p}_rev": F.sum(F.when(done, F.col("revenue"))),
+            f"{p}_priced": F.count(F.when(done, F.col("revenue"))),
+            f"{p}_rows": F.count_if(cond),
+            f"{p}_cancelled": F.count_if(cond & is_cancelled()),
+            f"{p}_done": F.count_if(done),
+        }
+    by_customer = span.groupBy("customer_id").agg(*[c.alias(n) for n, c in parts.items()])
+    known = F.col("customer_id").isNotNull()
+    total = by_customer.agg(
+        *[F.sum(n).alias(n) for n in parts],
+        *[F.count_if(known & (F.col(f"{p}_rows") > 0)).alias(f"{p}_customers") for p in ("c", "p")],
+    )
+    out = []
+    for p in ("c", "p"):
+        rows = F.coalesce(f"{p}_rows", F.lit(0))
+        kpis = {
+            "total_revenue": money(F.coalesce(f"{p}_rev", F.lit(0))),
+            "total_orders": rows,
+            "avg_order_value": exact_ratio(F.col(f"{p}_rev"), F.col(f"{p}_priced"), 4),
+            "cancellation_rate": pct(F.coalesce(f"{p}_cancelled", F.lit(0)), rows),
+            "completed_orders": F.coalesce(f"{p}_done", F.lit(0)),
+            "unique_customers": F.col(f"{p}_customers"),
+        }
+        out += [kpis[k].cast("double").alias(f"{p}_{k}") for k in KPI_ORDER]
+    return total.select(*out)
+
+
 def kpi_delta(df: DataFrame, date_from, date_to) -> DataFrame:
     """``[card_order, metric, current_value, previous_value, delta_pct]``.
 
     Both windows come from one scan restricted to ``[previous from, to]``
-    (pushed into the scan when the input is a table) with conditional
-    aggregates.  ``delta_pct`` is ``(cur - prev) / prev * 100`` on the
+    (pushed into the scan when the input is a table), one aggregate per
+    customer and one over customers.  ``delta_pct`` is ``(cur - prev) / prev * 100`` on the
     published values, NULL when ``prev`` is 0 or missing.
     """
     f, t = as_date(date_from), as_date(date_to)
@@ -417,12 +476,7 @@ def kpi_delta(df: DataFrame, date_from, date_to) -> DataFrame:
     in_cur = F.col("order_date") >= ts_literal(f)
     in_prev = F.col("order_date") < ts_literal(f)
     span = df.where((F.col("order_date") >= ts_literal(pf)) & (F.col("order_date") < end))
-    cur = kpi_aggregates(in_cur)
-    prev = kpi_aggregates(in_prev)
-    one = span.agg(
-        *[cur[k].cast("double").alias(f"c_{k}") for k in KPI_ORDER],
-        *[prev[k].cast("double").alias(f"p_{k}") for k in KPI_ORDER],
-    )
+    one = _two_window_kpis(span, in_cur, in_prev)
     card_keys = [
         "total_revenue", "total_orders", "avg_order_value",
         "cancellation_rate", "unique_customers", "completed_orders",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.expressions import (
+    avg_money,
     count_text,
     heading,
     money,
@@ -44,7 +45,7 @@ def category_table_formatted(df: DataFrame) -> DataFrame:
         .agg(
             F.count("order_id").alias(h[1]),
             pandas_sum("revenue").alias("_rev"),
-            F.avg("revenue").alias("_aov"),
+            avg_money("revenue").alias("_aov"),
             pandas_sum("quantity").alias(h[4]),
         )
     )
@@ -52,7 +53,7 @@ def category_table_formatted(df: DataFrame) -> DataFrame:
         F.col("category").alias(h[0]),
         h[1],
         money_text(money("_rev"), 0).alias(h[2]),
-        money_text(money("_aov"), 0).alias(h[3]),
+        money_text(F.col("_aov"), 0).alias(h[3]),
         h[4],
     )
 

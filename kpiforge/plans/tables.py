@@ -66,6 +66,7 @@ class OrderTables:
     materialized: bool = False
     median_options: dict = field(default_factory=dict)
     partition_by_month: bool = False
+    source: str | None = None
 
     @cached_property
     def medians(self) -> DataFrame:
@@ -114,19 +115,17 @@ class OrderTables:
         return cleaning.issue_log(self.raw, self.deduped, self.as_of)
 
     def reload(self) -> "OrderTables":
-        """Drop cached summaries and re-list the source files; a fresh, lazy copy.
+        """A fresh, lazy copy over the files that are in ``source`` now.
 
-        The "refresh data" action: cached frames are keyed by plan, and a
-        plan over the same source path looks unchanged after new files
-        land, so the cache is cleared and the file listing refreshed.
+        The "refresh data" action.  Nothing is cached by these tables, so
+        only the listing of the source folder is dropped; other frames of
+        the session are left alone.
         """
-        spark = self.raw.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in self.raw.inputFiles()}:
-            spark.catalog.refreshByPath(path)
-        spark.catalog.clearCache()
+        if self.source:
+            self.raw.sparkSession.catalog.refreshByPath(self.source)
         return OrderTables(
             self.raw, self.as_of, self.filters, self.materialized, dict(self.median_options),
-            self.partition_by_month,
+            self.partition_by_month, self.source,
         )
 
     @cached_property

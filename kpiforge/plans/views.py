@@ -8,7 +8,7 @@ views so ``spark.sql("SELECT * FROM vw_regional_sales")`` works.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.expressions import as_of_literal
@@ -32,19 +32,24 @@ def vw_data_quality(raw: DataFrame, as_of=None) -> DataFrame:
     NULL id counts as a duplicate).  "Future" compares with the date of
     ``as_of`` (``CURRENT_DATE``).
     """
-    ts = as_of_literal(as_of)
-    today = F.to_date(ts).cast("timestamp_ntz")
+    today = F.to_date(as_of_literal(as_of)).cast("timestamp_ntz")
     one = raw.agg(
         F.count_if(F.col("revenue").isNull()).alias("m"),
         (F.count(F.lit(1)) - F.count_distinct("order_id")).alias("d"),
         F.count_if(F.col("order_date") > today).alias("f"),
         F.count_if(F.col("revenue") < 0).alias("n"),
     )
+    return quality_rows(one, F.col("m"), F.col("d"), F.col("f"), F.col("n"), as_of)
+
+
+def quality_rows(one: DataFrame, missing: Column, duplicates: Column, future: Column, negative: Column, as_of=None) -> DataFrame:
+    """The four quality checks as rows, from a one-row frame of counts."""
+    ts = as_of_literal(as_of)
     rows = [
-        [F.lit(DQ_MISSING_REVENUE), F.col("m"), ts],
-        [F.lit(DQ_DUPLICATE_IDS), F.col("d"), ts],
-        [F.lit(DQ_FUTURE_DATES), F.col("f"), ts],
-        [F.lit(DQ_NEGATIVE_REVENUE), F.col("n"), ts],
+        [F.lit(DQ_MISSING_REVENUE), missing, ts],
+        [F.lit(DQ_DUPLICATE_IDS), duplicates, ts],
+        [F.lit(DQ_FUTURE_DATES), future, ts],
+        [F.lit(DQ_NEGATIVE_REVENUE), negative, ts],
     ]
     return rows_of(one, rows, ["issue_type", "issue_count", "checked_at"])
 

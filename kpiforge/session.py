@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +88,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/kpiforge/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are deleted at its end.
+
+    For jobs that finish their work (write their outputs) before they leave.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(
     df: DataFrame,
     name: str,
@@ -102,7 +123,10 @@ def materialize(
     columns and pushed filters skip row groups.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     writer = df.write.mode("overwrite")

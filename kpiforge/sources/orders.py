@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kpiforge.operators.joins import broadcast_if, fits_broadcast_all
 from kpiforge.operators.partitioning import spread
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA, RAW_REVENUE_TYPE
+from kpiforge.sinks.files import read_csv
 
 
 def read_orders(
@@ -28,25 +29,22 @@ def read_orders(
     """
     reader = spark.read.options(**(options or {}))
     if fmt == "parquet":
-        df = reader.parquet(path)
-        check_schema(df)
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in ORDERS_SCHEMA.fields])
+        return _declared(reader.parquet(path))
     if fmt == "csv":
-        return (
-            reader.schema(ORDERS_SCHEMA)
-            .option("header", "true")
-            .option("mode", "FAILFAST")
-            .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss]")
-            .csv(path)
-        )
-    return reader.schema(ORDERS_SCHEMA).format(fmt).load(path)
+        return read_csv(spark, path, ORDERS_SCHEMA, options)
+    # a broken record raises instead of becoming a row of nulls
+    return _declared(reader.schema(ORDERS_SCHEMA).option("mode", "FAILFAST").format(fmt).load(path))
 
 
 def read_orders_table(spark: SparkSession, name: str) -> DataFrame:
-    """Read a catalog table holding orders, projected and checked."""
-    df = spark.read.table(name)
+    """Read a catalog table holding orders, projected, checked and cast."""
+    return _declared(spark.read.table(name))
+
+
+def _declared(df: DataFrame) -> DataFrame:
+    """The nine columns with their declared types (DOUBLE revenue becomes DECIMAL, so sums are exact)."""
     check_schema(df)
-    return df.select(*ORDER_COLUMNS)
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in ORDERS_SCHEMA.fields])
 
 
 def check_schema(df: DataFrame) -> None:

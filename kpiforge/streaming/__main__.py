@@ -3,7 +3,9 @@
 Runs until stopped (``processingTime`` trigger, default every 5 minutes),
 or drains what is in the inbox and exits with ``--available-now``.  The
 session takes its settings from the cluster; the stream's progress is
-kept in ``<out>/_checkpoint`` so a restarted job resumes.
+kept in ``<out>/_checkpoint`` so a restarted job resumes.  The tables of
+the last finished batch are those that ``<out>/tables/current.json`` names
+(``kpiforge.sinks.versions.published``).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from kpiforge.session import checkpoint_root
-from kpiforge.streaming.incremental import incremental_views, start_incremental_refresh
+from kpiforge.streaming.incremental import start_incremental_refresh
 from kpiforge.streaming.refresh import start_refresh
 
 
@@ -25,12 +27,13 @@ def main(argv: list[str] | None = None) -> str:
     p.add_argument("--medians", help="published category_median table (incremental mode)")
     p.add_argument("--as-of", default=None)
     p.add_argument("--every", default="5 minutes", help="trigger interval")
-    p.add_argument("--watermark", default="7 days", help="late-data horizon (incremental mode)")
+    p.add_argument("--approx-customers", action="store_true", help="HLL customer counts (incremental mode)")
     p.add_argument("--max-files-per-trigger", type=int, default=None)
     p.add_argument("--available-now", action="store_true", help="drain the inbox and stop")
     args = p.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"kpiforge-refresh-{args.mode}").getOrCreate()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_root(spark)  # fail fast without a shared checkpoint folder
     out = args.out.rstrip("/")
     if args.mode == "exact":
@@ -43,16 +46,13 @@ def main(argv: list[str] | None = None) -> str:
         if not args.medians:
             p.error("--medians is required in incremental mode")
         query = start_incremental_refresh(
-            spark, args.inbox, f"{out}/partials", f"{out}/_checkpoint", args.medians,
-            watermark=args.watermark, processing_time=args.every,
+            spark, args.inbox, f"{out}/tables", f"{out}/_checkpoint", args.medians,
+            as_of=args.as_of, approx_customers=args.approx_customers, processing_time=args.every,
             available_now=args.available_now, max_files_per_trigger=args.max_files_per_trigger,
         )
     query.awaitTermination()
     if query.exception() is not None:
         raise SystemExit(str(query.exception()))
-    if args.mode == "incremental":
-        for name, df in incremental_views(spark, f"{out}/partials", args.as_of).items():
-            df.write.mode("overwrite").parquet(f"{out}/tables/{name}")
     return f"{out}/tables"
 
 

@@ -1,91 +1,204 @@
-"""Incremental refresh: work per micro-batch grows with the batch, not the table.
-
-The exact refresh (``refresh.py``) rebuilds every table from the whole
-store, because the category median and keep-first de-duplication depend
-on all rows; at 100 TB that is a full ETL per trigger.  This mode trades
-three documented semantic points for per-batch cost:
-
-* de-duplication is Spark's ``dropDuplicatesWithinWatermark`` on
-  ``order_id`` (bounded state store, checkpointed): the first *arrival* of
-  an id wins, rows older than the watermark are dropped as late; identical
-  (id, date) copies are first collapsed per partition, before the shuffle;
-* missing revenue is filled from the last published ``category_median``
-  table (stream-static join, re-read every batch, broadcast after a size
-  check), not from a median over all rows so far;
-* unique customers come from mergeable HLL sketches (approximate).
-
-Each micro-batch writes small partial aggregates under ``epoch=<id>``
-(overwrite of that one folder, so a replayed epoch is idempotent):
-
-* ``rollup``: rows, orders, priced rows, revenue and units per
-  (sale_date, category, region, payment_method, status);
-* ``top``: the batch's own top-k Completed orders (a global top-k is the
-  top-k of the union of per-batch top-k);
-* ``customers``: one HLL sketch of customer ids per region.
-
-``incremental_views`` sums the partials into the views; partials are tiny
-compared with orders, and ``compact_partials`` folds many epochs into one.
+"""Incremental refresh: every order counts once, and tables appear after every batch.
+
+A micro-batch of arriving order files is cleaned and added to a state kept
+in the shared folder:
+
+* ``ids``: accepted order ids.  A batch keeps its first row per id (the
+  batch job's order) and is anti-joined null-safely with these ids, so the
+  first *arrival* of an id wins.  There is no watermark on order dates:
+  orders are business dates, old or future ones arrive like any other, and
+  no row is dropped for its date.  Rows that repeat an id are counted per
+  batch in the ``refused_orders`` table.
+* ``rollup``: the day-grain sums (``plans.rollup``), merged with the batch's.
+* ``customers``: distinct (region, customer) pairs, or HLL sketches on request.
+* ``top``: the best Completed orders so far.
+* ``counts``: sums for the issue log and the quality checks.
+
+Missing revenue is filled from the published ``category_median`` table (a
+size-checked stream-static join, read anew for every batch).
+
+A batch writes new folders only and then replaces one JSON pointer
+atomically (``sinks.versions``); it names the state's folders and the
+published tables.  A failed or replayed batch therefore changes nothing
+until its pointer is in place, and readers always see tables of one age.
+Runs of ``ids`` and ``customers`` are merged tier by tier, MERGE_RUNS at a
+time, so the number of files stays logarithmic; folders that neither the
+current nor the previous pointer names are deleted.
 """
 
 from __future__ import annotations
 
-import sys
+import uuid
 
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kpiforge.functions.expressions import as_of_literal, money, month_start, pct
-from kpiforge.operators import metrics
-from kpiforge.operators.cleaning import drop_negative, fill_missing_median
-from kpiforge.operators.joins import size_checked_broadcast
-from kpiforge.schema import COMPLETED, DAILY_WINDOW_DAYS, ORDERS_SCHEMA, TOP_ORDERS_LIMIT
+from kpiforge.functions.expressions import as_of_literal
+from kpiforge.operators import cleaning, metrics
+from kpiforge.plans.rollup import ROLLUP_KEYS, add_up, order_rollup, region_customers, rollup_views
+from kpiforge.plans.views import quality_rows
+from kpiforge.schema import CLEAN_REVENUE_TYPE, DEDUP_ORDER, ORDERS_SCHEMA, TOP_ORDERS_LIMIT
+from kpiforge.sinks.versions import delete_folder, published, read_pointer, replace_pointer, write_tables
 
-ROLLUP_KEYS = ["sale_date", "category", "region", "payment_method", "status"]
+MERGE_RUNS = 16
 
+COUNTS = [
+    "raw_rows", "missing", "future_raw", "negative_raw",
+    "accepted", "known_ids", "negative", "clean_rows", "future",
+]
 
-def first_copy_per_partition(batches):
-    """Keep the first row per (order_id, order_date) within one partition.
 
-    Map-side reduction before the stateful dedup shuffles rows by id: a
-    group of re-delivered copies holding a third of a batch becomes one
-    row per input partition.  Copies with different dates are kept, so a
-    late first copy never hides a later valid one.
+def _pointer(out: str) -> str:
+    return f"{out.rstrip('/')}/current.json"
+
+
+def _read(spark: SparkSession, runs: list) -> DataFrame | None:
+    return spark.read.parquet(*[path for _, path in runs]) if runs else None
+
+
+def _batch_counts(batch: DataFrame, accepted: DataFrame, as_of) -> DataFrame:
+    """One row of COUNTS for a batch and the rows accepted from it."""
+    now = as_of_literal(as_of)
+    today = F.to_date(now).cast("timestamp_ntz")
+    kept = F.col("revenue").isNull() | (F.col("revenue") >= 0)
+    raw = batch.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(F.col("revenue").isNull()).alias("missing"),
+        F.count_if(F.col("order_date") > today).alias("future_raw"),
+        F.count_if(F.col("revenue") < 0).alias("negative_raw"),
+    )
+    new = accepted.agg(
+        F.count(F.lit(1)).alias("accepted"),
+        F.count("order_id").alias("known_ids"),
+        F.count_if(F.col("revenue") < 0).alias("negative"),
+        F.count_if(kept).alias("clean_rows"),
+        F.count_if(kept & (F.col("order_date") > now)).alias("future"),
+    )
+    zero = F.lit(0).cast("long")
+    raw = raw.select(*[F.col(c) if c in raw.columns else zero.alias(c) for c in COUNTS])
+    new = new.select(*[F.col(c) if c in new.columns else zero.alias(c) for c in COUNTS])
+    return _sum_counts(raw.unionByName(new))
+
+
+def _sum_counts(df: DataFrame) -> DataFrame:
+    return df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS])
+
+
+def _merged(spark: SparkSession, runs: list, kind: str, out: str) -> list:
+    """Merge runs, MERGE_RUNS of one tier into one of the next."""
+    tier = 0
+    while any(t >= tier for t, _ in runs):
+        same = [r for r in runs if r[0] == tier]
+        if len(same) >= MERGE_RUNS:
+            path = f"{out}/state/{kind}-{uuid.uuid4().hex}"
+            df = _read(spark, same)
+            (_merge_sketches(df) if "sketch" in df.columns else df.distinct()).write.parquet(path)
+            runs = [r for r in runs if r[0] != tier] + [[tier + 1, path]]
+        tier += 1
+    return runs
+
+
+def _merge_sketches(df: DataFrame) -> DataFrame:
+    return df.groupBy("region").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def _customers(spark: SparkSession, runs: list) -> DataFrame:
+    df = _read(spark, runs)
+    if "sketch" in df.columns:
+        return _merge_sketches(df).select("region", F.hll_sketch_estimate("sketch").alias("unique_customers"))
+    return region_customers(df)
+
+
+def _issue_log(counts: DataFrame) -> DataFrame:
+    return cleaning.issue_rows(
+        counts.select(
+            "raw_rows", "missing", F.col("accepted").alias("dedup_rows"), "negative", "clean_rows", "future"
+        )
+    )
+
+
+def _quality(counts: DataFrame, as_of) -> DataFrame:
+    return quality_rows(
+        counts, F.col("missing"), F.col("raw_rows") - F.col("known_ids"), F.col("future_raw"), F.col("negative_raw"), as_of
+    )
+
+
+def apply_batch(
+    batch: DataFrame, epoch: int, out: str, medians_path: str, as_of=None, approx_customers: bool = False
+) -> dict:
+    """Add one batch of raw orders to the state under ``out`` and publish the tables.
+
+    Returns the new pointer.  A batch whose epoch is already in the state
+    (a replay after its commit) changes nothing.
     """
-    seen: set[str] = set()
-    for pdf in batches:
-        key = pdf["order_id"].astype(str) + "|" + pdf["order_date"].astype(str)
-        first = ~key.duplicated() & ~key.isin(seen)
-        seen.update(key[first])
-        yield pdf[first]
-
-
-# The helper above runs in Python workers.  Ship this module's functions by
-# value, so workers need no installed copy of the package (driver started
-# from another folder, or a cluster without --py-files); it needs pandas only.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def batch_partials(clean: DataFrame) -> dict[str, DataFrame]:
-    """Partial aggregates of one batch of clean orders."""
-    rollup = clean.groupBy(
-        F.to_date("order_date").alias("sale_date"), "category", "region", "payment_method", "status"
-    ).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("order_id").alias("orders"),
-        F.count("revenue").alias("priced"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("quantity").alias("units"),
+    spark, out = batch.sparkSession, out.rstrip("/")
+    before = read_pointer(spark, _pointer(out)) or {"epoch": -1, "ids": [], "customers": [], "state": None, "folders": []}
+    if before["epoch"] >= epoch:
+        return before
+    folder = f"{out}/state/{epoch}-{uuid.uuid4().hex}"
+    spark.catalog.refreshByPath(medians_path)  # a newly published table
+    medians = spark.read.parquet(medians_path).select("category", "median_revenue")
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # counted and cleaned: read once
+    try:
+        fresh = cleaning.dedup_orders(cleaning.fill_missing_median(batch, medians))
+        seen = _read(spark, before["ids"])
+        if seen is not None:
+            seen = seen.select(F.col("order_id").alias("_seen"))
+            fresh = fresh.join(seen, F.col("order_id").eqNullSafe(F.col("_seen")), "left_anti")
+        fresh.write.parquet(f"{folder}/accepted")
+        accepted = spark.read.parquet(f"{folder}/accepted")
+        new_ids, new_people = (f"{out}/state/{kind}-{uuid.uuid4().hex}" for kind in ("ids", "customers"))
+        accepted.select("order_id").write.parquet(new_ids)
+        clean = cleaning.drop_negative(accepted)
+        if approx_customers:
+            people = clean.groupBy("region").agg(F.hll_sketch_agg("customer_id").alias("sketch"))
+        else:
+            people = clean.select("region", "customer_id").distinct()
+        people.write.parquet(new_people)
+        rollup, top, counts = order_rollup(clean), metrics.top_completed(clean), _batch_counts(batch, accepted, as_of)
+        counts.write.parquet(f"{folder}/batch_counts")
+        counts = spark.read.parquet(f"{folder}/batch_counts")
+        refused = counts.select(F.lit(epoch).cast("long").alias("epoch"), F.col("raw_rows"), (F.col("raw_rows") - F.col("accepted")).alias("refused_rows"))
+        if before["state"]:
+            old = {k: spark.read.parquet(f"{before['state']}/{k}") for k in ("rollup", "top", "counts", "refused")}
+            rollup = add_up(rollup.unionByName(old["rollup"]), *ROLLUP_KEYS)
+            top = metrics.top_completed(top.unionByName(old["top"]), TOP_ORDERS_LIMIT)
+            counts = _sum_counts(counts.unionByName(old["counts"]))
+            refused = refused.unionByName(old["refused"])
+        write_tables({"rollup": rollup, "top": top, "counts": counts, "refused": refused.coalesce(1)}, folder)
+    finally:
+        batch.unpersist()
+    ids = _merged(spark, before["ids"] + [[0, new_ids]], "ids", out)
+    people = _merged(spark, before["customers"] + [[0, new_people]], "customers", out)
+    counts = spark.read.parquet(f"{folder}/counts")
+    tables = rollup_views(
+        spark.read.parquet(f"{folder}/rollup"), _customers(spark, people), spark.read.parquet(f"{folder}/top"), as_of
     )
-    top = metrics.top_completed(clean, TOP_ORDERS_LIMIT)
-    customers = clean.groupBy("region").agg(F.hll_sketch_agg("customer_id").alias("sketch"))
-    return {"rollup": rollup, "top": top, "customers": customers}
+    tables |= {
+        "vw_data_quality": _quality(counts, as_of),
+        "issue_log": _issue_log(counts),
+        "refused_orders": spark.read.parquet(f"{folder}/refused").orderBy("epoch"),
+    }
+    now = {
+        "epoch": epoch,
+        "ids": ids,
+        "customers": people,
+        "state": folder,
+        "tables": write_tables(tables, f"{folder}/tables"),
+    }
+    now["folders"] = sorted({folder, *[path for _, path in ids + people]})
+    replace_pointer(spark, _pointer(out), now | {"before": before["folders"]})
+    _clear(spark, before, now, folder)
+    return now
 
 
-def write_partials(parts: dict[str, DataFrame], out: str, epoch_id: int) -> None:
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch_id}")
+def _clear(spark: SparkSession, before: dict, now: dict, folder: str) -> None:
+    """Delete what neither the new pointer nor the one before it names."""
+    delete_folder(spark, f"{folder}/accepted")
+    for path in set(before.get("before", [])) - {*now["folders"], *before["folders"]}:
+        delete_folder(spark, path)
 
 
 def start_incremental_refresh(
@@ -94,40 +207,21 @@ def start_incremental_refresh(
     out: str,
     checkpoint: str,
     medians_path: str,
-    watermark: str = "7 days",
+    as_of=None,
     processing_time: str | None = "5 minutes",
     available_now: bool = False,
     max_files_per_trigger: int | None = None,
+    approx_customers: bool = False,
 ) -> StreamingQuery:
     """Start the incremental refresh over Parquet order files in ``inbox``."""
     reader = spark.readStream.schema(ORDERS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    # watermarks need TIMESTAMP (with time zone); orders carry TIMESTAMP_NTZ,
-    # so the event time is a derived column (session time zone, UTC here)
-    deduped = (
-        reader.parquet(inbox)
-        .mapInPandas(first_copy_per_partition, ORDERS_SCHEMA)
-        .withColumn("_event_time", F.col("order_date").cast("timestamp"))
-        .withWatermark("_event_time", watermark)
-        .dropDuplicatesWithinWatermark(["order_id"])
-        .drop("_event_time")
-    )
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        session = batch.sparkSession
-        session.catalog.refreshByPath(medians_path)  # pick up a newly published table
-        medians = session.read.parquet(medians_path).select("category", "median_revenue")
-        # three partial tables are written from one batch: persist it so the
-        # micro-batch (file read and stateful dedup) runs once
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            clean = drop_negative(fill_missing_median(batch, medians))
-            write_partials(batch_partials(clean), out, epoch_id)
-        finally:
-            batch.unpersist()
-
-    writer = deduped.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+        apply_batch(batch, epoch_id, out, medians_path, as_of, approx_customers)
+
+    writer = reader.parquet(inbox).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -135,145 +229,44 @@ def start_incremental_refresh(
     return writer.start()
 
 
-def _rollup(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/rollup").drop("epoch")
-
-
-def _by(rollup: DataFrame, *keys) -> DataFrame:
-    return rollup.groupBy(*keys).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("orders").alias("orders"),
-        F.sum("priced").alias("priced"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("units").alias("units"),
-    )
-
-
-def _avg() -> Column:
-    return F.when(F.col("priced") > 0, money(F.col("revenue") / F.col("priced")))
-
-
-def incremental_views(spark: SparkSession, out: str, as_of=None) -> dict[str, DataFrame]:
-    """The views, summed from the per-epoch partials."""
-    roll = _rollup(spark, out)
-    done = roll.where(F.col("status") == COMPLETED)
-    trend = (
-        _by(done, month_start("sale_date").alias("month"))
-        .select(
-            "month",
-            money("revenue").alias("total_revenue"),
-            F.col("orders").alias("total_orders"),
-            _avg().alias("avg_order_value"),
-        )
-        .orderBy(F.col("month").asc_nulls_last())
-    )
-    category = (
-        _by(done, "category")
-        .select(
-            "category",
-            F.col("orders").alias("total_orders"),
-            money("revenue").alias("total_revenue"),
-            _avg().alias("avg_order_value"),
-            F.col("units").alias("total_units_sold"),
-        )
-        .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("category").asc_nulls_last())
-    )
-    payment = (
-        _by(done, "payment_method")
-        .select(
-            "payment_method",
-            F.col("orders").alias("total_orders"),
-            money("revenue").alias("total_revenue"),
-        )
-        .orderBy(F.col("total_revenue").desc_nulls_first())
-    )
-    status = _by(roll, "status").select(
-        "status",
-        F.col("orders").alias("order_count"),
-        pct(F.col("orders"), F.sum("orders").over(Window.partitionBy())).alias("pct_share"),
-    )
-    start = F.date_sub(F.to_date(as_of_literal(as_of)), DAILY_WINDOW_DAYS)
-    daily = (
-        _by(done.where(F.col("sale_date") >= start), "sale_date")
-        .select("sale_date", F.col("orders").alias("orders"), money("revenue").alias("daily_revenue"))
-        .orderBy("sale_date")
-    )
-    top = metrics.vw_top_orders(spark.read.parquet(f"{out}/top").drop("epoch"), TOP_ORDERS_LIMIT)
-    sketches = (
-        spark.read.parquet(f"{out}/customers")
-        .groupBy("region")
-        .agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_customers"))
-        .withColumnRenamed("region", "_r")
-    )
-    sketches_b = size_checked_broadcast(sketches)
-    regional = (
-        _by(roll, "region")
-        .join(sketches_b, F.col("region").eqNullSafe(F.col("_r")), "left")
-        .select(
-            "region",
-            F.col("orders").alias("total_orders"),
-            money("revenue").alias("total_revenue"),
-            _avg().alias("avg_order_value"),
-            F.col("unique_customers"),
-        )
-        .orderBy(F.col("total_revenue").desc_nulls_first())
-    )
-    return {
-        "vw_revenue_trend": trend,
-        "vw_category_performance": category,
-        "vw_payment_methods": payment,
-        "vw_order_status": status,
-        "vw_daily_sales_30d": daily,
-        "vw_top_orders": top,
-        "vw_regional_sales": regional,
-    }
-
-
-def compact_partials(spark: SparkSession, out: str, dest: str) -> str:
-    """Fold all epochs' partials into one epoch (``epoch=0``) under ``dest``.
-
-    Rollups are summed per key, top-k candidates re-ranked, sketches
-    unioned; the result is a valid partials folder for ``incremental_views``.
-    """
-    roll = _by(_rollup(spark, out), *ROLLUP_KEYS)
-    top = metrics.top_completed(spark.read.parquet(f"{out}/top").drop("epoch"), TOP_ORDERS_LIMIT)
-    cust = (
-        spark.read.parquet(f"{out}/customers")
-        .groupBy("region")
-        .agg(F.hll_union_agg("sketch").alias("sketch"))
-    )
-    write_partials({"rollup": roll, "top": top, "customers": cust}, dest, 0)
-    return dest
+def incremental_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables that are published under ``out`` now."""
+    return {name: spark.read.parquet(path) for name, path in published(spark, out).items()}
 
 
 def refresh_incremental_once(
     spark: SparkSession,
-    raw: DataFrame,
+    arrivals: list[DataFrame],
     medians: DataFrame,
-    files: int = 4,
-    files_per_batch: int = 2,
-    watermark: str = "3650 days",
+    files: int = 2,
+    files_per_batch: int = 1,
     as_of=None,
 ) -> dict[str, DataFrame]:
-    """Publish ``medians``, drop ``raw`` into a fresh inbox as several files,
-    drain the stream (``availableNow``) and return the incremental views."""
+    """Publish ``medians``, drop ``arrivals`` one after the other into a fresh
+    inbox as several files each, drain the stream and return the tables."""
     from kpiforge.session import ensure_checkpoint_dir, scratch_path
 
     ensure_checkpoint_dir(spark)
     base = scratch_path(spark, "incremental")
     medians.write.parquet(f"{base}/medians")
-    raw.repartition(files).write.parquet(f"{base}/inbox")
-    query = start_incremental_refresh(
-        spark,
-        f"{base}/inbox",
-        f"{base}/out",
-        f"{base}/stream_checkpoint",
-        f"{base}/medians",
-        watermark=watermark,
-        available_now=True,
-        max_files_per_trigger=files_per_batch,
+    for raw in arrivals:
+        raw.repartition(files).write.mode("append").parquet(f"{base}/inbox")
+        query = start_incremental_refresh(
+            spark, f"{base}/inbox", f"{base}/out", f"{base}/stream_checkpoint", f"{base}/medians",
+            as_of=as_of, available_now=True, max_files_per_trigger=files_per_batch,
+        )
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+    return incremental_tables(spark, f"{base}/out")
+
+
+def keep_first_arrivals(raw: DataFrame, medians: DataFrame) -> list[DataFrame]:
+    """All raw rows as two arrivals: the copy of each id that the batch job keeps, then all repeats."""
+    med = medians.select(F.col("category").alias("_cat"), F.col("median_revenue").alias("_med"))
+    filled = F.coalesce(F.col("revenue").cast(CLEAN_REVENUE_TYPE), F.col("_med"))
+    order = [(filled if c == "revenue" else F.col(c)).asc_nulls_last() for c in DEDUP_ORDER]
+    rows = raw.join(med, F.col("category") == F.col("_cat"), "left").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("order_id").orderBy(*order))
     )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-    return incremental_views(spark, f"{base}/out", as_of)
+    return [rows.where("_n = 1").select(*raw.columns), rows.where("_n > 1").select(*raw.columns)]

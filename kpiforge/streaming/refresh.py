@@ -7,8 +7,9 @@ in tests) and ``foreachBatch`` does, per micro-batch:
 1. append the batch's raw rows to the raw store under ``epoch=<id>``
    (overwrite of that one folder, so a replayed epoch is idempotent);
 2. rebuild clean orders from the whole store and write them once to the
-   shared checkpoint folder (lineage cut);
-3. rewrite every view table from that clean table.
+   shared checkpoint folder (lineage cut, deleted when the tables are there);
+3. write every view table to a new folder and switch one pointer to it, so
+   readers always see tables of one age.
 
 The category median and keep-first de-duplication depend on all rows, so
 the tables are rebuilt from the store rather than patched; the results
@@ -19,6 +20,8 @@ committed batch.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -26,27 +29,28 @@ from pyspark.sql.streaming import StreamingQuery
 from kpiforge.plans.tables import OrderTables
 from kpiforge.plans.views import build_views
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA
-from kpiforge.session import ensure_checkpoint_dir, scratch_path
+from kpiforge.session import ensure_checkpoint_dir, scratch_path, scratch_scope
+from kpiforge.sinks.versions import delete_folder, published, read_pointer, replace_pointer, write_tables
 
 
-def refresh_tables(spark: SparkSession, store: str, out: str, as_of=None) -> dict[str, str]:
-    """Rebuild clean orders and all view tables from the raw store.
+def refresh_tables(spark: SparkSession, store: str, out: str, as_of=None, epoch: int | None = None) -> dict[str, str]:
+    """Rebuild clean orders and all view tables from the raw store and publish them at once.
 
-    Frames persisted by an earlier batch (median summaries, broadcast
-    sides) are keyed by plan, and a plan over ``store`` looks the same
-    after new files arrive; ``refreshByPath`` drops those stale entries.
+    The tables go to a new folder, then one pointer is switched
+    (``sinks.versions``); the folder published before stays for readers
+    that are still at it, older ones are deleted, and so is the scratch that
+    the rebuild wrote.
     """
+    out = out.rstrip("/")
     spark.catalog.refreshByPath(store)
-    raw = spark.read.parquet(store).select(*ORDER_COLUMNS)
-    t = OrderTables(raw, as_of=as_of, materialized=True)
-    clean = t.clean
-    paths = {}
-    for name, df in build_views(raw, clean, as_of).items():
-        path = f"{out}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    t.issues.write.mode("overwrite").parquet(f"{out}/issue_log")
-    paths["issue_log"] = f"{out}/issue_log"
+    before = read_pointer(spark, f"{out}/current.json") or {}
+    folder = f"{out}/v-{uuid.uuid4().hex}"
+    with scratch_scope(spark):
+        t = OrderTables(spark.read.parquet(store).select(*ORDER_COLUMNS), as_of=as_of, materialized=True)
+        paths = write_tables(build_views(t.raw, t.clean, as_of) | {"issue_log": t.issues}, folder)
+    replace_pointer(spark, f"{out}/current.json", {"epoch": epoch, "folder": folder, "before": before.get("folder"), "tables": paths})
+    if before.get("before"):
+        delete_folder(spark, before["before"])
     return paths
 
 
@@ -76,7 +80,7 @@ def start_refresh(
             batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
         finally:
             batch.unpersist()
-        refresh_tables(batch.sparkSession, store, out, as_of)
+        refresh_tables(batch.sparkSession, store, out, as_of, epoch_id)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -108,4 +112,4 @@ def refresh_once(
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return spark.read.parquet(f"{base}/out/vw_category_performance")
+    return spark.read.parquet(published(spark, f"{base}/out")["vw_category_performance"])
