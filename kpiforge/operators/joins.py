@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side is a small, narrow aggregate (a key plus a few numbers);
-# this many rows stay well below a few tens of MB.
+# Bounds of a broadcast side: both its rows and the bytes of its values are checked.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: the length of text and binary columns, 16 for any other."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16)
+        for f in df.schema.fields
+    ]
+    total = F.lit(0).cast("long")
+    for s in sizes:
+        total = total + s
+    return total
+
+
+def _small(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether rows and bytes are within the bounds; reads ``max_rows + 1`` rows at most."""
+    row = df.limit(max_rows + 1).select(value_bytes(df).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def size_checked_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True
 ) -> DataFrame:
-    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+    """Return ``broadcast(df)`` if its rows and bytes are within the bounds, else ``df``.
 
     Only ``max_rows + 1`` rows are counted (each task stops early).  With
     ``persist`` (for small aggregates that are costly to recompute) the
@@ -25,13 +44,12 @@ def size_checked_broadcast(
     """
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if _small(df, max_rows, BROADCAST_MAX_BYTES) else df
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (counts at most ``max_rows + 1``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True if rows and bytes of ``df`` are within the bounds."""
+    return _small(df, max_rows, BROADCAST_MAX_BYTES)
 
 
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
@@ -57,7 +75,10 @@ def fits_broadcast_all(
         for name, df in frames.items()
     ]
     row = named_counts(parts).first()
-    return {name: row[name] <= max_rows for name in frames}
+    few = {name: df for name, df in frames.items() if row[name] <= max_rows}
+    # the bytes of those that are short enough, again in one job
+    sums = named_counts([(df.select(value_bytes(df).alias("b")), {name: F.coalesce(F.sum("b"), F.lit(0))}) for name, df in few.items()]).first() if few else {}
+    return {name: name in few and sums[name] <= BROADCAST_MAX_BYTES for name in frames}
 
 
 SALTS = 64

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -66,7 +67,7 @@ class OrderTables:
     materialized: bool = False
     median_options: dict = field(default_factory=dict)
     partition_by_month: bool = False
-    source: str | None = None
+    source: Callable[[], DataFrame] | None = None
 
     @cached_property
     def medians(self) -> DataFrame:
@@ -115,16 +116,15 @@ class OrderTables:
         return cleaning.issue_log(self.raw, self.deduped, self.as_of)
 
     def reload(self) -> "OrderTables":
-        """A fresh, lazy copy over the files that are in ``source`` now.
+        """A fresh, lazy copy over what ``source`` reads now.
 
-        The "refresh data" action.  Nothing is cached by these tables, so
-        only the listing of the source folder is dropped; other frames of
-        the session are left alone.
+        The "refresh data" action: nothing is cached by these tables, so
+        reading the source anew (which lists its files again) is all there
+        is to do, and other frames of the session are left alone.
         """
-        if self.source:
-            self.raw.sparkSession.catalog.refreshByPath(self.source)
+        raw = self.source() if self.source else self.raw
         return OrderTables(
-            self.raw, self.as_of, self.filters, self.materialized, dict(self.median_options),
+            raw, self.as_of, self.filters, self.materialized, dict(self.median_options),
             self.partition_by_month, self.source,
         )
 

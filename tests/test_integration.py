@@ -191,7 +191,7 @@ def test_reload_sees_new_files(spark):
     path = scratch_path(spark, "reload")
     src = raw.orderBy("order_id", "order_date", "revenue")
     src.limit(3000).write.parquet(path)
-    t = OrderTables(read_orders(spark, path), as_of=AS_OF, source=path)
+    t = OrderTables(read_orders(spark, path), as_of=AS_OF, source=lambda: read_orders(spark, path))
     before = t.clean.count()
     src.subtract(src.limit(3000)).write.mode("append").parquet(path)
     t2 = t.reload()
