@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kpiforge.llm.common import ensure_checkpoint_dir, worker_cache, written
+from kpiforge.llm.common import prepare, worker_cache
 from kpiforge.llm.tokens import engine, read_ranks
 
 # Text that a chunk holds; bounds the memory of a task beside a single text.
@@ -58,11 +60,12 @@ def _splitter(pattern: str):
     return cache["split", pattern]
 
 
-_CHUNKS = "chunk long, bucket int, block binary, wide boolean, counts binary"
+# ``at``: the chunk's number for its documents, -1 - bucket for its words
+_CHUNKS = "at long, chunk long, block binary, wide boolean, counts binary"
 
 
 def _explode(pattern: str, buckets: int, chunk_bytes: int):
-    """Rows of two kinds per chunk: its documents (bucket -1) and its distinct words, by bucket."""
+    """Rows of two kinds per chunk: its documents, and its distinct words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(pattern).findall
@@ -84,14 +87,14 @@ def _explode(pattern: str, buckets: int, chunk_bytes: int):
             n = 1 + len(used)
             out = pa.RecordBatch.from_arrays(
                 [
+                    pa.array([chunk, *(-1 - used).tolist()], pa.int64()),
                     pa.array(np.full(n, chunk)),
-                    pa.array([-1, *used.tolist()], pa.int32()),
                     pa.array([zstandard.compress(flat.tobytes(), 3), *blocks], pa.binary()),
                     pa.array([flat.itemsize == 4] + [None] * len(used), pa.bool_()),
                     pa.array([np.array(counts, "<u4").tobytes()] + [None] * len(used), pa.binary()),
                     pa.array([ids] + [None] * len(used), pa.list_(id_type)),
                 ],
-                names=["chunk", "bucket", "block", "wide", "counts", "ids"],
+                names=["at", "chunk", "block", "wide", "counts", "ids"],
             )
             n_chunks += 1
             size = 0
@@ -126,6 +129,7 @@ def _encode(vocabulary: str, pattern: str):
         enc = engine(vocabulary, pattern)
         known: dict[bytes, bytes] = {}
         for b in batches:
+            b = b.filter(pa.compute.less(b.column(0), 0))  # the documents' rows are for the assembly
             blocks = []
             for block in b.column(2).to_pylist():
                 out = []
@@ -135,14 +139,20 @@ def _encode(vocabulary: str, pattern: str):
                         code = known[w] = np.array(enc._encode_single_piece(w), dtype="<u4").tobytes()
                     out.append(code)
                 blocks.append(pack_list(out))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blocks, pa.binary())], names=["chunk", "bucket", "codes"])
+            buckets = -1 - b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(buckets), pa.array(blocks, pa.binary())], names=["at", "bucket", "codes"])
 
     return run
 
 
-def _assemble(vocabulary: str, digest: bool):
+def _assemble(vocabulary: str, digest: bool, id_type: pa.DataType):
+    digests = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    empty = pa.schema([("id", id_type), *(digests if digest else [("ids", pa.list_(pa.int32()))])])
+
     def run(docs: pa.Table, codes: pa.Table) -> pa.Table:
         """Documents of one chunk from their word numbers and the words' ids."""
+        if docs.column("at")[0].as_py() < 0:
+            return empty.empty_table()  # rows of words
         order = np.argsort(codes.column("bucket").to_numpy(), kind="stable")
         blocks = codes.column("codes").to_pylist()
         ids = [np.frombuffer(c, "<u4") for i in order for c in unpack_list(blocks[i])]
@@ -179,16 +189,18 @@ def token_bytes(vocabulary: str) -> dict[int, bytes]:
 
 def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col: str, digest: bool, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chunks = written(source.mapInArrow(_explode(pattern, buckets, chunk_bytes), f"{_CHUNKS}, ids array<{id_type}>"), "bpe-chunks")
-    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "block").repartition(buckets, "bucket")
-    codes = words.mapInArrow(_encode(vocabulary, pattern), "chunk long, bucket int, codes binary")
-    bodies = chunks.filter("bucket < 0").drop("bucket")
+    # One exchange deals documents by chunk and words by bucket; both branches below read it, so texts are
+    # split once and word numbers are shuffled once.  No filter stands over it: it would be pushed below
+    # and make two exchanges of it.
+    dealt = source.mapInArrow(_explode(pattern, buckets, chunk_bytes), f"{_CHUNKS}, ids array<{id_type}>").repartition(buckets, "at")
+    codes = dealt.mapInArrow(_encode(vocabulary, pattern), "at long, bucket long, codes binary")
     out = f"id {id_type}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    done = bodies.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_assemble(vocabulary, digest), out)
+    assemble = _assemble(vocabulary, digest, to_arrow_type(docs.schema[id_col].dataType))
+    done = dealt.groupBy("at").cogroup(codes.groupBy("at")).applyInArrow(assemble, out)
     return done.withColumnRenamed("id", id_col)
 
 
