@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import ensure_checkpoint_dir, written
+from kpiforge.llm.common import prepare, written
 from kpiforge.llm.tokens import engine
 
 CAPACITY = 1024
@@ -329,7 +329,7 @@ def pack_documents(
     columns are not read; an empty table gives an empty table.  Texts of any
     length are cut without loss: full pieces behind a first shorter one.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         _pieces(vocabulary, pattern, capacity, end_id), f"id {id_type}, piece int, start long, length long, ids_crc32 long"

@@ -15,9 +15,21 @@ from kpiforge.session import ensure_checkpoint_dir, materialize
 HOT_KEYS = 1000
 
 
+# Rows of an Arrow batch: whole texts pass through Python workers, and this bounds what one holds at a time.
+ARROW_ROWS = 1000
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """The shared folder is known, and Arrow batches of whole texts are small."""
+    ensure_checkpoint_dir(spark)
+    if not 0 < int(spark.conf.get(ARROW_CONF)) <= ARROW_ROWS:
+        spark.conf.set(ARROW_CONF, str(ARROW_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
+    prepare(df.sparkSession)
     return materialize(df, f"llm-{name}")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import components, ensure_checkpoint_dir, hot_split_join, written
+from kpiforge.llm.common import components, hot_split_join, prepare, written
 
 MIN_COSINE = 0.98
 LEAF_POINTS = 4096
@@ -316,7 +316,7 @@ def near_duplicates(
     table gives an empty table.
     """
     spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     id_type, label_type = vectors.schema[id_col].dataType.simpleString(), vectors.schema[label_col].dataType.simpleString()
     source = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("vec"))
     rows = written(source.mapInArrow(_unit, f"id {id_type}, label {label_type}, vec binary, print binary"), "unit-vectors")

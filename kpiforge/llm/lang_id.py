@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import boxed, unboxed
+from kpiforge.llm.common import boxed, prepare, unboxed
 
 N_MAX = 3
 LANDMARKS_PER_LANG = 24
@@ -164,8 +164,10 @@ def identify(
     results; texts of any length are used whole; rows are never dropped; a
     clashing column name gets underscores.
     """
+    prepare(docs.sparkSession)
     sample = training_sample(docs.filter(train), text_col, label_col, key if key is not None else F.col(f"`{text_col}`"))
     model = fit([t for t, _ in sample], [v for _, v in sample])
     text = F.col(f"`{text_col}`").cast("string")
-    whole = boxed(docs, done=_predictor(model)(text))
+    # nondeterministic only in name: else a filter on the result would run the prediction a second time
+    whole = boxed(docs, done=_predictor(model).asNondeterministic()(text))
     return unboxed(whole, docs.columns, add={"lang_pred": F.col("done")["lang"], "score": F.col("done")["score"]})

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import boxed, hot_split_join, unboxed, written
+from kpiforge.llm.common import boxed, hot_split_join, prepare, unboxed, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -97,7 +97,7 @@ def dedup_lines(
     as one document that sorts below all others; repeated rows are kept;
     an empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    prepare(docs.sparkSession)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     id_type = docs.schema[id_col].dataType
     hashed = written(

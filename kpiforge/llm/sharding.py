@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import boxed, ensure_checkpoint_dir, unboxed, written
+from kpiforge.llm.common import boxed, prepare, unboxed, written
 
 # Sub-buckets of a shard: their counts, shards x SLOT_BUCKETS rows at most, are broadcast.
 SLOT_BUCKETS = 256
@@ -59,7 +59,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, weights: Sequence[float] | N
     table.  A shard (or an id) with a third of all rows is numbered in
     SLOT_BUCKETS parts, dealt by a hash of the row and its position.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     weights = list(weights) if weights is not None else [1.0] * n_shards
     if len(weights) != n_shards:
         raise ValueError("one weight per shard")

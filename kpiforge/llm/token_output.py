@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.llm.best_fit import CAPACITY, END_ID, cut
-from kpiforge.llm.common import ensure_checkpoint_dir, written
+from kpiforge.llm.common import prepare, written
 from kpiforge.llm.tokens import engine
 from kpiforge.llm.warc import open_folder
 
@@ -169,7 +169,7 @@ def write_token_matrices(
     are not read; an empty table writes nothing.  Texts of any length are cut
     without loss: full pieces behind a first shorter one.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"{_INDEX}, ids array<{docs.schema[id_col].dataType.simpleString()}>"
     index = written(source.mapInArrow(_write(uri, vocabulary, pattern, capacity, end_id, window), schema), "token-index")

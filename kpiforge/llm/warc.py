@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import HOT_KEYS, ensure_checkpoint_dir, written
+from kpiforge.llm.common import HOT_KEYS, prepare, written
 from kpiforge.session import scratch_path
 
 FRAME_BYTES = 256 << 10
@@ -245,7 +245,7 @@ def write_archives(
     1/HOT_KEYS of the rows are matched by broadcast, so copies of one page
     are spread over all tasks.
     """
-    ensure_checkpoint_dir(pages.sparkSession)
+    prepare(pages.sparkSession)
     data = F.coalesce(F.col(f"`{html_col}`").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), data.alias("data"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("data")))
@@ -288,5 +288,5 @@ def read_archives(index: DataFrame, uri: str, id_col: str = "page_id") -> DataFr
 
 def archive_folder(spark) -> str:
     """A new folder for archives in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return scratch_path(spark, "warc")
