@@ -22,8 +22,9 @@ from kpiforge.llm.common import boxed, prepare, unboxed
 
 N_MAX = 3
 LANDMARKS_PER_LANG = 24
-# Bounds of the training sample: rows per language, and characters per row
-# (longer labelled rows are not chosen; chosen rows are used whole).
+# Bounds of the training sample: rows per language, and characters per row.
+# Longer labelled rows are chosen only for a language that has no others, up
+# to the same number of characters in all; chosen rows are used whole.
 TRAIN_PER_LANG = 300
 TRAIN_MAX_CHARS = 20_000
 RIDGE = 1e-3
@@ -109,23 +110,49 @@ def training_sample(docs: DataFrame, text_col: str, label_col: str, key: Column,
     """At most ``per_label`` labelled rows of each label, chosen by a hash of ``key``.
 
     Counts per label thin the rows by hash first, so the ranking never
-    gathers a label's rows in one task, whatever the table's size.
+    gathers a label's rows in one task, whatever the table's size.  A label
+    whose rows are all longer than TRAIN_MAX_CHARS gives its shortest ones.
     """
     label, text = F.col(f"`{label_col}`"), F.col(f"`{text_col}`").cast("string")
     # null or blank text holds no n-grams of a language
-    rows = docs.filter(label.isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= TRAIN_MAX_CHARS)).select(
-        label.cast("string").alias("label"), text.alias("text"), F.xxhash64(key).alias("h")
+    every = docs.filter(label.isNotNull() & text.rlike(r"\p{L}")).select(
+        label.cast("string").alias("label"), text.alias("text"), F.xxhash64(key).alias("h"), F.length(text).alias("chars")
     )
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = every.filter(F.col("chars") <= TRAIN_MAX_CHARS)
+    found = {r["label"]: r["n"] for r in every.groupBy("label").agg(F.count_if(F.col("chars") <= TRAIN_MAX_CHARS).alias("n")).collect()}
+    if not found:
         return []
+    counts = {value: n for value, n in found.items() if n}
     keep = F.lit(False)
     for value, n in counts.items():
         share = min(1.0, 3 * per_label / n)
         keep = keep | ((F.col("label") == value) & (F.pmod("h", F.lit(1_000_003)) <= int(share * 1_000_003)))
     ranked = rows.filter(keep).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "text")))
     picked = ranked.filter(F.col("k") <= per_label).orderBy("label", "k").select("text", "label").collect()
-    return [(r["text"], r["label"]) for r in picked]
+    sample = [(r["text"], r["label"]) for r in picked]
+    return sample + _long_rows(every, [value for value, n in found.items() if not n], per_label)
+
+
+def _long_rows(rows: DataFrame, labels: list[str], per_label: int) -> list[tuple[str, str]]:
+    """The shortest distinct texts of ``labels``, of ``per_label * TRAIN_MAX_CHARS`` characters in all for each.
+
+    A label's shortest text is always taken (cut to that bound if it is
+    longer).  Ranking reads lengths and hashes of texts only.
+    """
+    if not labels:
+        return []
+    bound = per_label * TRAIN_MAX_CHARS
+    rows = rows.filter(F.col("label").isin(labels)).select("label", "text", "chars", F.xxhash64("text").alias("hash"))
+    order = Window.partitionBy("label").orderBy("chars", "hash")
+    ranked = rows.select("label", "chars", "hash").distinct().withColumn("k", F.row_number().over(order))
+    taken, total = [], {}
+    for r in ranked.filter(F.col("k") <= per_label).orderBy("label", "k").collect():
+        total[r["label"]] = total.get(r["label"], 0) + r["chars"]
+        if r["k"] == 1 or total[r["label"]] <= bound:
+            taken.append((r["label"], r["chars"], r["hash"]))
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(taken, "label string, chars int, hash long"))
+    texts = rows.join(chosen, ["label", "chars", "hash"]).groupBy("label", "chars", "hash").agg(F.min(F.substring("text", 1, bound)).alias("text"))
+    return [(r["text"], r["label"]) for r in texts.orderBy("label", "chars", "hash").collect()]
 
 
 def _predictor(model: LanguageModel | None):
@@ -157,7 +184,8 @@ def identify(
 
     The model learns from text and label of at most TRAIN_PER_LANG rows of
     each label where ``train`` holds (chosen by a hash of ``key``, by default
-    the text).  Only the text is an input of a prediction.
+    the text; the shortest of a label whose rows all have more than
+    TRAIN_MAX_CHARS characters).  Only the text is an input of a prediction.
 
     Edge cases: null, empty or letterless text, and every text when there
     are no labelled rows, gives ``und`` with score 0; equal texts get equal

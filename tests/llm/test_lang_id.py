@@ -69,3 +69,22 @@ def test_sample_is_bounded_and_long_rows_are_left_out(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
     sample = lang_id.training_sample(df, "text", "lang", F.col("doc_id"), per_label=50)
     assert len(sample) == 50 and sample == lang_id.training_sample(df.repartition(7), "text", "lang", F.col("doc_id"), per_label=50)
+
+
+def test_label_with_long_rows_only_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "TRAIN_MAX_CHARS", 100)
+    short = [(i, f"the cat sat on the mat {i}", "en") for i in range(20)]
+    long = [(100 + i, f"der hund und die katze sind hier {i} " * (4 + i % 20), "de") for i in range(40)]
+    copies = [(200 + i, long[0][1], "de") for i in range(5)]
+    huge = [(300, "le chien et les chats sont ici " * 1000, "fr")]
+    rows = short + long + copies + huge + [(400, "english words that are too long for the sample " * 10, "en"), (401, "und die katze", None), (402, "les chats sont", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    sample = lang_id.training_sample(df, "text", "lang", F.col("doc_id"), per_label=20)
+    assert sample == lang_id.training_sample(df.repartition(3), "text", "lang", F.col("doc_id"), per_label=20)
+    by = {v: [t for t, w in sample if w == v] for v in ("en", "de", "fr")}
+    assert sorted(by["en"]) == sorted(t for _, t, _ in short)
+    shortest = sorted({t for _, t, v in rows if v == "de"}, key=len)
+    assert 1 < len(by["de"]) and sum(map(len, by["de"])) <= 2000 and sorted(map(len, by["de"])) == [len(t) for t in shortest[: len(by["de"])]]
+    assert by["fr"] == [huge[0][1][:2000]]
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(df, F.lit(True), key=F.col("doc_id")).collect()}
+    assert got[100] == got[401] == "de" and got[300] == got[402] == "fr" and got[0] == "en"
