@@ -64,3 +64,14 @@ def test_stages_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, SF)
         assert (d.count() > 0) == (n > 0)
+
+
+def test_language_stage_without_labels_keeps_documents(spark):
+    rows = [(1, None, None, "s", None), (2, "", None, "s", 0), (3, "12 ?!", None, "s", 5), (4, "the cat sat", None, "s", 11), (None, "漢字", None, "s", 2), (4, "the cat sat", None, "s", 11)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.identify_language(spark, docs, SF).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(rows[3:], key=repr)
+    labelled = spark.createDataFrame([*rows, (5, "a dog and a cat", "en", "s", 15), (6, "99", "en", "s", 2)], schema)
+    out = corpus_pipeline.identify_language(spark, labelled, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in out) == [(0, "en"), (4, "en"), (4, "en"), (5, "en")]
