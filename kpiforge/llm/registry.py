@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, bm25, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, warc
+from kpiforge.llm import best_fit, bm25, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, vector_codes, warc
 from kpiforge.llm.common import prepare
 from kpiforge.session import scratch_path
 
@@ -78,6 +78,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -151,6 +156,57 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other: assign by exact distance and index, then floor means."""
+    ctes = [
+        """
+ok AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)""",
+        f"""
+p AS MATERIALIZED (
+  SELECT vec_id, label, i AS part, v[i * (len(v) // {parts}) + 1 : (i + 1) * (len(v) // {parts})] AS x FROM ok, range({parts}) r(i)
+)""",
+        f"""
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS e FROM p QUALIFY k < {entries}
+)""",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min(struct_pack(d := d, k := k)) AS b FROM (
+    SELECT vec_id, label, p.part, x, k, CAST(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM p JOIN c{r} USING (part)) GROUP BY ALL
+)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT part, k, coalesce(m.e, old.e) AS e FROM c{r} old LEFT JOIN (
+    SELECT part, k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS e FROM (
+      SELECT part, k, pos, CAST(sum(xi) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT part, b.k AS k, unnest(x) AS xi, generate_subscripts(x, 1) AS pos FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2
+  ) m USING (part, k)
+)"""
+            )
+    return (
+        "WITH "
+        + ",".join(ctes)
+        + f""",
+books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) AS h FROM c{rounds}),
+done AS (
+  SELECT vec_id, label, string_agg(printf('%02x', b.k), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1, 2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM books) AS codebooks_sha256 FROM done
+"""
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -162,5 +218,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
+    "op12_vector_codes": op12_vector_codes,
+}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": OP2_SQL,
+    "op3_warc": OP3_SQL,
+    "op6_jaccard_join": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
+    "op12_vector_codes": _op12_sql(),
 }
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op9_line_dedup": OP9_SQL}
