@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import best_fit, bm25, bpe, cover_tree, jaccard_join, lang_id, line_dedup, sharding, token_output, vector_codes, warc
+from kpiforge.llm import best_fit, bm25, bpe, cover_tree, jaccard_join, lang_id, line_dedup, periodic_runs, sharding, token_output, vector_codes, warc
 from kpiforge.llm.common import prepare
 from kpiforge.session import scratch_path
 
@@ -78,6 +78,42 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a hash of the id, repeat a stretch of their own words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    n = F.size("words").cast("long")
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))), " ")
+    docs = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+    docs = docs.withColumn("a", a).withColumn("p", p)
+    return docs.select("doc_id", F.when(F.size("words") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(_with_planted_periods(_read(spark, sf_dir, "documents")))
+    # greatest exact exponent first: a / b > c / d is a * d > c * b
+    better = F.aggregate(
+        "runs",
+        F.lit(None).cast(periodic_runs.RUN),
+        lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = F.col("top")
+    return found.withColumn("top", better).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -157,6 +193,46 @@ FROM marked GROUP BY doc_id
 """
 
 
+# Pairs of equal 5-word shingles in a text give, for every distance, islands of equal words at that distance.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h
+  FROM documents
+), e AS (
+  SELECT doc_id, ws, h % 10 = 0 AND len(ws) > 0 AS plant, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM d
+), f AS (SELECT *, 1 + (len(ws) - a) // (3 + g % 8) AS p FROM e
+), w AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN plant THEN list_transform(range(len(ws)), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM f
+), t AS MATERIALIZED (
+  SELECT doc_id, len(ws) AS n, i, array_to_string(ws[i + 1 : i + 5], ' ') AS g FROM w, LATERAL (SELECT unnest(range(len(ws) - 4)) AS i) WHERE len(ws) >= 6
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), island AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 5 + q AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pairs) GROUP BY doc_id, q, isle
+), enough AS MATERIALIZED (SELECT * FROM island WHERE e - s >= greatest(6, 4 * q)
+), run AS MATERIALIZED (
+  SELECT * FROM enough r WHERE NOT EXISTS (
+    SELECT 1 FROM enough o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.e >= r.e)
+), best AS (
+  SELECT doc_id, s, e - s AS l, q FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(e - s AS DOUBLE) / q DESC, s, q) = 1
+), digest AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM run
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w) w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i
+  WHERE gone.i IS NULL GROUP BY w.doc_id
+)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN digest USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The rounds one after the other: assign by exact distance and index, then floor means."""
     ctes = [
@@ -218,6 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_output": op10_token_output,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
 }
 ORACLES: dict[str, str] = {
@@ -225,5 +302,6 @@ ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "op12_vector_codes": _op12_sql(),
 }
