@@ -10,7 +10,7 @@ import pytest
 
 from kpiforge.llm import secret_scan
 from kpiforge.llm.registry import QUERIES
-from tests.conftest import SF_TINY
+from tests.conftest import SF_SMALL
 
 KEYWORD = "password|passwd|secret|token|api_?key"
 
@@ -126,11 +126,11 @@ def test_blocks_do_not_change_results(corpus):
 
 
 def test_registered_query(spark):
-    out = QUERIES["op13_secret_scan"](spark, SF_TINY)
+    out = QUERIES["op13_secret_scan"](spark, SF_SMALL)
     assert out.dtypes == [("doc_id", "bigint"), ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string")]
     got = {r["doc_id"]: r for r in out.collect()}
-    rows = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text").collect()
-    assert len(got) == len(rows)
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows) and any(brute(t) for _, t in rows)
     for doc_id, text in rows:
         want, r = brute(text), got[doc_id]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[2] == k for s in want) for k in ("assign", "access", "hex"))
