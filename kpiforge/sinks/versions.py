@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+# Small jobs that wait for nothing of each other are handed to the scheduler together.
+AT_ONCE = 8
+
 
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,10 +60,22 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     _files(spark, path).delete(_path(spark, path), True)
 
 
+def at_once(spark: SparkSession, *jobs: Callable) -> list:
+    """Results of ``jobs``, which run beside each other; the first failure is raised."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """Write each table to ``<folder>/<name>``; returns the paths."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def write(name: str, df: DataFrame) -> Callable:
+        return lambda: df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    if tables:
+        at_once(next(iter(tables.values())).sparkSession, *[write(name, df) for name, df in tables.items()])
     return {name: f"{folder}/{name}" for name in tables}
 
 

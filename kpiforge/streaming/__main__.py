@@ -24,7 +24,7 @@ def main(argv: list[str] | None = None) -> str:
     p.add_argument("--inbox", required=True, help="folder where new order files (Parquet) land")
     p.add_argument("--out", required=True, help="folder for the store, tables and checkpoint")
     p.add_argument("--mode", choices=["exact", "incremental"], default="exact")
-    p.add_argument("--medians", help="published category_median table (incremental mode)")
+    p.add_argument("--medians", help="category_median table to fill from (incremental mode; default: medians of all rows that have arrived)")
     p.add_argument("--as-of", default=None)
     p.add_argument("--every", default="5 minutes", help="trigger interval")
     p.add_argument("--approx-customers", action="store_true", help="HLL customer counts (incremental mode)")
@@ -43,8 +43,6 @@ def main(argv: list[str] | None = None) -> str:
             max_files_per_trigger=args.max_files_per_trigger,
         )
     else:
-        if not args.medians:
-            p.error("--medians is required in incremental mode")
         query = start_incremental_refresh(
             spark, args.inbox, f"{out}/tables", f"{out}/_checkpoint", args.medians,
             as_of=args.as_of, approx_customers=args.approx_customers, processing_time=args.every,
