@@ -16,6 +16,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
+# Words of more bytes than this are hashed by xxh3.
+LONG_WORD = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +40,11 @@ def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of lower-cased bytes."""
+    """Hashes and start offsets of the words of lower-cased bytes.
+
+    Polynomials modulo 2^64 collide by construction for some pairs of words
+    of a thousand letters and more, so long words are hashed one by one.
+    """
     b = np.frombuffer(text, dtype=np.uint8)
     inside = np.concatenate([[False], ~SPACE[b], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
@@ -46,6 +52,8 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(b)), out=total[1:])
     value = (total[end] - total[start]) * _powers(_INVERSE, len(b) + 1)[start]
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
     return _mix(value + (end - start).astype(np.uint64) * _PLACES[63]), start
 
 

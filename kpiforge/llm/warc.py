@@ -279,7 +279,8 @@ def read_archives(index: DataFrame, uri: str, id_col: str = "page_id") -> DataFr
     """
     id_type = index.schema[id_col].dataType.simpleString()
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = index.select("file").distinct().repartition(parts, "file")
+    # by range: a hash of the file is how ``distinct`` deals them, and would be merged into few tasks
+    files = index.select("file").distinct().repartitionByRange(parts, "file")
     found = files.mapInArrow(_read(uri), "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.select(
         F.col("id").cast(id_type).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to")

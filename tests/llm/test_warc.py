@@ -84,3 +84,13 @@ def test_hot_page(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     index, back = roundtrip(spark, [], f"file://{tmp_path}/x")
     assert index.count() == 0 and back.count() == 0
+
+
+def test_bundles_are_read_by_as_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "u", f"page {i} " * 20) for i in range(400)]
+    index, back = roundtrip(spark, rows, f"file://{tmp_path}/x", bundle_bytes=2000, frame_bytes=500)
+    files = index.select("file").distinct().count()
+    tasks = back.select(F.spark_partition_id().alias("p"), "page_id").select("p").distinct().count()
+    assert files >= 8 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
