@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.operators import cleaning, filters, metrics
-from kpiforge.plans import report, views
+from kpiforge.plans import cells, report, views
 from kpiforge.plans.tables import FilterSpec, OrderTables
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
 from kpiforge.sinks.files import export_csv, read_exported_orders, write_bundle
 from kpiforge.sources.orders import conform_test_tables
+from kpiforge.sources.quarantine import judged, read_texts
 from kpiforge.streaming.incremental import refresh_incremental_once
 from kpiforge.streaming.refresh import refresh_once
 
@@ -142,6 +143,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_regional": _q(lambda t: metrics.report_regional(t.filtered)),
         "report_raw_data": _q(lambda t: _public(report.report_raw_data(t.filtered))),
         "export_csv_roundtrip": _csv_roundtrip,
+        # orders as text lines, some of them broken: parsed, or refused with a reason
+        "quarantine_orders": _quarantine,
+        # filtered KPIs from cells with customer bitmaps, without the orders
+        "cells_kpi_filtered": _q(lambda t: cells.kpi_summary_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
+        "cells_report_regional": _q(lambda t: cells.report_regional_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
         # refresh job (Structured Streaming, availableNow) over the raw orders
         "refresh_category_performance": lambda spark, sf_dir: refresh_once(
             spark, _tables(spark, sf_dir).raw, as_of=AS_OF
@@ -164,6 +170,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw orders as CSV lines, those of some quantities broken in one way or another, read back."""
+    ensure_checkpoint_dir(spark)
+    quantity, text = F.col("quantity"), {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _COLS}
+    text["order_date"] = F.when(quantity.isin(11, 19), F.lit("n/a")).otherwise(F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+    text["revenue"] = F.when(quantity.isin(13, 19), F.lit("12.3.4")).when(quantity == 23, F.lit("1.005")).otherwise(text["revenue"])
+    text["quantity"] = F.when(quantity == 7, F.lit("seven")).otherwise(text["quantity"])
+    line = F.when(quantity == 17, F.concat_ws(",", *[text[c] for c in _COLS[:4]])).otherwise(F.concat_ws(",", *[text[c] for c in _COLS]))
+    path = scratch_path(spark, "order_lines")
+    _tables(spark, sf_dir).raw.select(line.alias("value")).write.text(path)
+    return _public(judged(read_texts(spark, path)))
+
+
 def _incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _public(refresh_incremental_once(spark, [_tables(spark, sf_dir).raw], as_of=AS_OF)[name])
@@ -401,6 +420,32 @@ def _kpi_cards() -> str:
     )
 
 
+def _quarantine_sql() -> str:
+    text = {c: f"COALESCE(CAST({c} AS VARCHAR), '')" for c in _COLS}
+    text["order_date"] = "CASE WHEN quantity IN (11, 19) THEN 'n/a' ELSE strftime(order_date, '%Y-%m-%d %H:%M:%S') END"
+    text["revenue"] = f"CASE WHEN quantity IN (13, 19) THEN '12.3.4' WHEN quantity = 23 THEN '1.005' ELSE {text['revenue']} END"
+    text["quantity"] = f"CASE WHEN quantity = 7 THEN 'seven' ELSE {text['quantity']} END"
+    line = lambda cols: " || ',' || ".join(text[c] for c in cols)
+    bad = {"order_date": "11, 19", "revenue": "13, 19", "quantity": "7"}
+    values = ", ".join(
+        f"CASE WHEN quantity = 17{f' OR quantity IN ({bad[c]})' if c in bad else ''} THEN NULL "
+        f"ELSE {'CAST(CASE WHEN quantity = 23 THEN 1.01 ELSE revenue END AS DOUBLE)' if c == 'revenue' else c} END AS {c}"
+        if c not in _COLS[:4] or c == "order_date"
+        else c
+        for c in _COLS
+    )
+    values = values.replace("CASE WHEN quantity = 17 OR quantity IN (11, 19)", "CASE WHEN quantity IN (11, 19)")
+    return (
+        _BASE
+        + f"""SELECT {values},
+  CASE quantity WHEN 17 THEN 'record: malformed' WHEN 11 THEN 'order_date: not a date' WHEN 13 THEN 'revenue: not a number'
+    WHEN 19 THEN 'order_date: not a date; revenue: not a number' WHEN 23 THEN 'revenue: more than 2 decimals'
+    WHEN 7 THEN 'quantity: not an integer' END AS reason,
+  CASE WHEN quantity = 17 THEN {line(_COLS[:4])} ELSE {line(_COLS)} END AS record
+FROM raw"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for each key of ``queries()`` (same tables, same parameters)."""
     b = _BASE
@@ -542,6 +587,9 @@ FROM filtered WHERE region IS NOT NULL GROUP BY region""",
         f"(SELECT COUNT(DISTINCT category) FROM clean WHERE {_COMPLETED}) AS categories "
         "FROM clean GROUP BY region HAVING COUNT(order_id) > 0",
     }
+    out["cells_kpi_filtered"] = out["kpi_filtered"]
+    out["cells_report_regional"] = out["report_regional"]
+    out["quarantine_orders"] = _quarantine_sql()
     out["incremental_regional_sales"] = out["vw_regional_sales"]
     out["incremental_data_quality"] = out["vw_data_quality"]
     out["incremental_issue_log"] = out["issue_log"]

@@ -15,6 +15,7 @@ from kpiforge.plans.etl import run_etl
 from kpiforge.plans.tables import FilterSpec
 from kpiforge.session import checkpoint_root, materialize
 from kpiforge.sources.orders import conform_test_tables, read_orders
+from kpiforge.sources.quarantine import read_orders_tolerant
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     src.add_argument("--orders", help="orders table (files)")
     src.add_argument("--star-dir", help="folder with the star-schema test tables")
     p.add_argument("--format", default="parquet", help="format of --orders (parquet, csv, ...)")
+    p.add_argument("--tolerant", action="store_true", help="keep refused records of --orders (csv, json) in <out>/refused instead of failing")
     p.add_argument("--out", required=True, help="output folder")
     p.add_argument("--as-of", default=None, help="reporting instant, 'YYYY-MM-DD HH:MM:SS'")
     p.add_argument("--from", dest="date_from", default=None)
@@ -39,7 +41,11 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
 
     spark = SparkSession.builder.appName("kpiforge-etl").getOrCreate()
     checkpoint_root(spark)  # fail fast without a shared checkpoint folder
-    if args.orders:
+    if args.orders and args.tolerant:
+        found = read_orders_tolerant(spark, args.orders, args.format)
+        found.refused.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/refused")
+        raw = materialize(found.orders, "raw_orders")  # parsed once
+    elif args.orders:
         raw = read_orders(spark, args.orders, fmt=args.format)  # plain scan, cheap to re-read
     else:
         # the star join is read by several passes (median, fill, dedup,
@@ -50,6 +56,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         raw, args.out, as_of=args.as_of, filters=filters, fmt=args.out_format,
         partition_by_month=args.partition_by_month,
     )
+    if args.orders and args.tolerant:
+        paths["refused"] = f"{args.out.rstrip('/')}/refused"
     print(json.dumps(paths, indent=2))
     return paths
 
