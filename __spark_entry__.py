@@ -21,6 +21,7 @@ from kpiforge.plans import cells, report, views
 from kpiforge.plans.tables import FilterSpec, OrderTables
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
 from kpiforge.sinks.files import export_csv, read_exported_orders, write_bundle
+from kpiforge.sources import bucketed, footers, splits
 from kpiforge.sources.orders import conform_test_tables
 from kpiforge.sources.quarantine import judged, read_texts
 from kpiforge.streaming.incremental import refresh_incremental_once
@@ -53,6 +54,7 @@ REPORT_FILTER = FilterSpec(
     statuses=["Completed", "Cancelled", "Refunded"],
 )
 NOOP_FILTER = FilterSpec(categories=["All"], regions=[], statuses=["All", "Completed"])
+SPLIT_PARTS = 7
 DELTA_FROM, DELTA_TO = "2000-07-01", "2000-09-30"
 
 
@@ -148,6 +150,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # filtered KPIs from cells with customer bitmaps, without the orders
         "cells_kpi_filtered": _q(lambda t: cells.kpi_summary_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
         "cells_report_regional": _q(lambda t: cells.report_regional_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
+        # layouts: a table bucketed by id, split bounds of equal depth, answers from file footers
+        "bucketed_dedup_orders": _bucketed_dedup,
+        "split_predicate_rows": _split_rows,
+        "footer_bounds": _footer_bounds,
         # refresh job (Structured Streaming, availableNow) over the raw orders
         "refresh_category_performance": lambda spark, sf_dir: refresh_once(
             spark, _tables(spark, sf_dir).raw, as_of=AS_OF
@@ -183,6 +189,24 @@ def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _public(judged(read_texts(spark, path)))
 
 
+def _bucketed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    stored = bucketed.scratch_table(t.raw, "orders_by_id", bucketed.table_buckets(spark))
+    return _public(cleaning.dedup_orders(cleaning.fill_missing_median(stored, t.medians)))
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _tables(spark, sf_dir).raw
+    return splits.rows_by_predicate(raw, splits.split_predicates(splits.equal_depth_parts(raw, SPLIT_PARTS)))
+
+
+def _footer_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "orders_with_day")
+    footers.write_with_day(_tables(spark, sf_dir).clean, path)
+    return footers.table_bounds(spark, path)
+
+
 def _incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _public(refresh_incremental_once(spark, [_tables(spark, sf_dir).raw], as_of=AS_OF)[name])
@@ -590,6 +614,19 @@ FROM filtered WHERE region IS NOT NULL GROUP BY region""",
     out["cells_kpi_filtered"] = out["kpi_filtered"]
     out["cells_report_regional"] = out["report_regional"]
     out["quarantine_orders"] = _quarantine_sql()
+    out["bucketed_dedup_orders"] = out["dedup_orders"]
+    out["footer_bounds"] = b + "SELECT CAST(MIN(order_date) AS DATE) AS min_date, CAST(MAX(order_date) AS DATE) AS max_date, COUNT(*) AS records FROM clean"
+    out["split_predicate_rows"] = (
+        b
+        + f"""
+, days AS (SELECT CAST(order_date AS DATE) AS d, COUNT(*) AS n FROM raw WHERE order_date IS NOT NULL GROUP BY 1),
+placed AS (SELECT d, n, (SUM(n) OVER (ORDER BY d) - n) * {SPLIT_PARTS} // SUM(n) OVER () AS part FROM days),
+parts AS (SELECT part, MIN(d) AS f, SUM(n) AS n FROM placed GROUP BY part),
+ends AS (SELECT chr(39) || f || chr(39) AS f, chr(39) || LEAD(f) OVER (ORDER BY part) || chr(39) AS t, n, ROW_NUMBER() OVER (ORDER BY part) AS k FROM parts)
+SELECT CASE WHEN k = 1 THEN coalesce('order_date < ' || t, 'order_date IS NOT NULL')
+  ELSE 'order_date >= ' || f || coalesce(' AND order_date < ' || t, '') END AS predicate, CAST(n AS BIGINT) AS rows FROM ends
+UNION ALL SELECT 'order_date IS NULL', COUNT(*) FROM raw WHERE order_date IS NULL HAVING COUNT(*) > 0"""
+    )
     out["incremental_regional_sales"] = out["vw_regional_sales"]
     out["incremental_data_quality"] = out["vw_data_quality"]
     out["incremental_issue_log"] = out["issue_log"]
