@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.operators import cleaning, filters, metrics
-from kpiforge.plans import cells, report, views
+from kpiforge.plans import cells, pages, prefix, report, views
+from kpiforge.plans.rollup import order_rollup
 from kpiforge.plans.tables import FilterSpec, OrderTables
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
 from kpiforge.sinks.files import export_csv, read_exported_orders, write_bundle
@@ -54,7 +55,7 @@ REPORT_FILTER = FilterSpec(
     statuses=["Completed", "Cancelled", "Refunded"],
 )
 NOOP_FILTER = FilterSpec(categories=["All"], regions=[], statuses=["All", "Completed"])
-SPLIT_PARTS = 7
+SPLIT_PARTS, PAGE = 7, 3
 DELTA_FROM, DELTA_TO = "2000-07-01", "2000-09-30"
 
 
@@ -150,6 +151,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # filtered KPIs from cells with customer bitmaps, without the orders
         "cells_kpi_filtered": _q(lambda t: cells.kpi_summary_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
         "cells_report_regional": _q(lambda t: cells.report_regional_from_cells(cells.build_cells(t.clean), REPORT_FILTER)),
+        # any window as a difference of two prefix rows; a page of the preview beyond the first
+        "prefix_kpi_delta": _q(_prefix_delta),
+        "prefix_daily_sales_30d": _q(lambda t: prefix.daily_sales_from_prefix(prefix.build_prefix(order_rollup(t.clean)), AS_OF)),
+        "page_orders": _q(lambda t: _public(pages.write_pages(t.clean, parts=8).page(PAGE))),
         # layouts: a table bucketed by id, split bounds of equal depth, answers from file footers
         "bucketed_dedup_orders": _bucketed_dedup,
         "split_predicate_rows": _split_rows,
@@ -189,6 +194,11 @@ def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _public(judged(read_texts(spark, path)))
 
 
+def _prefix_delta(t: OrderTables) -> DataFrame:
+    built = cells.build_cells(t.clean)
+    return prefix.kpi_delta_from_prefix(prefix.build_prefix(built.rollup), built, DELTA_FROM, DELTA_TO)
+
+
 def _bucketed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     stored = bucketed.scratch_table(t.raw, "orders_by_id", bucketed.table_buckets(spark))
@@ -614,6 +624,14 @@ FROM filtered WHERE region IS NOT NULL GROUP BY region""",
     out["cells_kpi_filtered"] = out["kpi_filtered"]
     out["cells_report_regional"] = out["report_regional"]
     out["quarantine_orders"] = _quarantine_sql()
+    out["prefix_kpi_delta"] = out["kpi_delta"]
+    out["prefix_daily_sales_30d"] = out["vw_daily_sales_30d"]
+    out["page_orders"] = (
+        b
+        + f"SELECT {_PUB}, ROW_NUMBER() OVER (ORDER BY order_date ASC NULLS LAST, order_id ASC NULLS LAST, "
+        + ", ".join(f"{c} ASC NULLS LAST" for c in _COLS[2:])
+        + f") AS position FROM clean QUALIFY position > {PAGE * 500} AND position <= {(PAGE + 1) * 500}"
+    )
     out["bucketed_dedup_orders"] = out["dedup_orders"]
     out["footer_bounds"] = b + "SELECT CAST(MIN(order_date) AS DATE) AS min_date, CAST(MAX(order_date) AS DATE) AS max_date, COUNT(*) AS records FROM clean"
     out["split_predicate_rows"] = (

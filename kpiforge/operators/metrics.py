@@ -476,7 +476,11 @@ def kpi_delta(df: DataFrame, date_from, date_to) -> DataFrame:
     in_cur = F.col("order_date") >= ts_literal(f)
     in_prev = F.col("order_date") < ts_literal(f)
     span = df.where((F.col("order_date") >= ts_literal(pf)) & (F.col("order_date") < end))
-    one = _two_window_kpis(span, in_cur, in_prev)
+    return delta_rows(_two_window_kpis(span, in_cur, in_prev))
+
+
+def delta_rows(one: DataFrame) -> DataFrame:
+    """The rows of ``kpi_delta`` from the KPIs of both windows (``c_*`` and ``p_*``) in one row."""
     card_keys = [
         "total_revenue", "total_orders", "avg_order_value",
         "cancellation_rate", "unique_customers", "completed_orders",
