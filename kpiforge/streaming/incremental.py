@@ -320,6 +320,8 @@ def apply_batch(
     before = read_pointer(spark, _pointer(out)) or {"epoch": -1, "ids": [], "customers": [], "values": [], "state": None, "schemas": {}, "folders": []}
     if before["epoch"] >= epoch:
         return before
+    if before["state"] and not medians_path and "coarse" not in before["schemas"]:
+        raise ValueError("this state was filled from a given median table and knows no medians of its own: give the table, or start a new state")
     folder = f"{out}/state/{epoch}-{uuid.uuid4().hex}"
     old = {k: spark.read.schema(T.StructType.fromJson(json.loads(v))).parquet(f"{before['state']}/{k}") for k, v in before["schemas"].items()}
     schemas: dict[str, str] = {}

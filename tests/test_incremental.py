@@ -113,6 +113,15 @@ def test_the_top_reserve_is_refilled(spark, monkeypatch):
     _check(spark, out, orders_df(spark, rows + back + more))
 
 
+def test_a_state_without_values_asks_for_its_median_table(spark):
+    base = scratch_path(spark, "given")
+    spark.sql("SELECT 'Books' AS category, CAST(7 AS DECIMAL(18,4)) AS median_revenue").write.parquet(f"{base}/medians")
+    apply_batch(orders_df(spark, [order("A", revenue=None)]), 0, f"{base}/out", f"{base}/medians", as_of=AS_OF)
+    assert incremental_tables(spark, f"{base}/out")["vw_category_performance"].first()["total_revenue"] == 7.0
+    with pytest.raises(ValueError, match="median table"):
+        apply_batch(orders_df(spark, [order("B")]), 1, f"{base}/out", as_of=AS_OF)
+
+
 def test_future_orders_become_due(spark):
     out = scratch_path(spark, "due")
     rows = [order("A", "2001-06-16 10:00:00"), order("B", "2001-07-01 00:00:00", revenue=None), order("C")]
