@@ -21,13 +21,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from kpiforge.operators import cleaning, filters, metrics  # noqa: E402
-from kpiforge.plans import views  # noqa: E402
+from kpiforge.plans import cells, pages, prefix, views  # noqa: E402
 from kpiforge.plans.rollup import order_rollup  # noqa: E402
-from kpiforge.plans.tables import OrderTables  # noqa: E402
-from kpiforge.session import build_session, materialize  # noqa: E402
+from kpiforge.plans.tables import FilterSpec, OrderTables  # noqa: E402
+from kpiforge.session import build_session, ensure_checkpoint_dir, materialize, scratch_path  # noqa: E402
+from kpiforge.sources import bucketed, footers  # noqa: E402
 from kpiforge.sources.orders import conform_test_tables  # noqa: E402
+from kpiforge.streaming import incremental, keyed_store  # noqa: E402
+from kpiforge.streaming.keyed_store import KeyedStore  # noqa: E402
 
 AS_OF = "2001-06-15 00:00:00"
+SOME = FilterSpec(date_from="1996-02-10", date_to="1997-06-30", categories=["PROMO"])
 
 
 def plan_text(df) -> str:
@@ -40,17 +44,27 @@ def plan_text(df) -> str:
         line
         for line in details.splitlines()
         if re.match(r"^\(\d+\) Scan ", line)
-        or line.startswith(("Location:", "PushedFilters:", "ReadSchema:", "PartitionFilters:"))
+        or line.startswith(("Location:", "PushedFilters:", "ReadSchema:", "PartitionFilters:", "PushedAggregation:"))
     ]
     keep = [re.sub(r"kpiforge/[\w-]+-[0-9a-f]{32}", "kpiforge/<table>", k) for k in keep]
     return tree.strip() + ("\n\n" + "\n".join(keep) if keep else "")
 
 
-def accepted_rows(spark, raw, medians):
-    """A micro-batch of the incremental refresh: fill, first row per id, null-safe anti-join with the id store."""
-    ids = materialize(raw.select(F.col("order_id").alias("_seen")).distinct(), "ids")
-    fresh = cleaning.dedup_orders(cleaning.fill_missing_median(raw, medians))
-    return fresh.join(ids, F.col("order_id").eqNullSafe(F.col("_seen")), "left_anti")
+def looked_up(spark, raw):
+    """The look-up of a small batch's ids in the store of the incremental refresh (buckets that its Bloom filters let through)."""
+    ensure_checkpoint_dir(spark)
+    keyed_store.BUCKET_ROWS = 1000  # several buckets on a small table
+    store = KeyedStore(spark, scratch_path(spark, "store"), "ids", ["order_id"], raw.schema)
+    runs = [store.write(incremental.possible_copies(raw), 0)]
+    few = store.hashed(raw.select("order_id").orderBy("order_id").limit(3).distinct())
+    return store.look_up(runs, few)
+
+
+def with_day(spark, clean):
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "with_day")
+    footers.write_with_day(clean, path)
+    return path
 
 
 def main() -> None:
@@ -60,6 +74,7 @@ def main() -> None:
     raw = materialize(conformed, "raw_orders")
     t = OrderTables(raw, as_of=AS_OF, materialized=True)
     clean = t.clean
+    built = cells.build_cells(clean)
     sections = [
         ("conform test tables (fact streamed, dimensions broadcast after a count)", conformed),
         ("keep-first dedup (partial WindowGroupLimit before the shuffle)", cleaning.dedup_orders(raw)),
@@ -74,7 +89,13 @@ def main() -> None:
         ),
         ("category x region pivot", metrics.category_region_pivot(clean)),
         ("day-grain rollup (batch job, incremental refresh)", order_rollup(clean)),
-        ("incremental refresh: rows accepted from a batch", accepted_rows(spark, raw, t.medians)),
+        ("incremental refresh: rows of a batch that can be kept", incremental.possible_copies(raw)),
+        ("incremental refresh: look-up of a batch's ids (partition filters on buckets)", looked_up(spark, raw)),
+        ("keep-first dedup of a bucketed table (no exchange)", cleaning.dedup_orders(bucketed.scratch_table(raw, "by_id", 8))),
+        ("date bounds from footers (pushed aggregation)", footers.table_bounds(spark, with_day(spark, clean))),
+        ("filtered KPIs from cells (no orders)", cells.kpi_summary_from_cells(built, SOME)),
+        ("sums of a window from two prefix rows a cell", prefix.window_sums(prefix.build_prefix(built.rollup), "2000-07-01", "2000-09-30", "status")),
+        ("a middle page of the preview (partition filter)", pages.write_pages(clean).page(3)),
         ("kpi_delta (both windows in one scan)", metrics.kpi_delta(clean, "2000-07-01", "2000-09-30")),
         ("issue log (two scans: raw, deduplicated)", t.issues),
     ]
