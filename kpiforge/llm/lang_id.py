@@ -5,7 +5,8 @@ UTF-8 bytes of the lower-cased text) that both contain, divided by the
 geometric mean of their own n-gram counts.  A Nystroem map on bounded
 landmark documents turns it into features for one-versus-rest kernel ridge
 regression.  Training uses a bounded sample of labelled rows and runs on
-the driver; prediction is distributed and scores whole texts with batched
+the driver, in blocks of rows, so its memory does not grow with the number
+of labels times rows; prediction is distributed and scores whole texts with batched
 matrix products.
 """
 
@@ -18,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import boxed, prepare, unboxed
+from kpiforge.llm.common import boxed, prepare, unboxed, written
 
 N_MAX = 3
 LANDMARKS_PER_LANG = 24
+# Landmarks in all: with many languages each has fewer, and beyond this number some have none (they are still learned).
+LANDMARKS = 512
 # Bounds of the training sample: rows per language, and characters per row.
 # Longer labelled rows are chosen only for a language that has no others, up
 # to the same number of characters in all; chosen rows are used whole.
 TRAIN_PER_LANG = 300
 TRAIN_MAX_CHARS = 20_000
+# Rows of the sample in all: with many languages each gives fewer, at least one; languages beyond this number
+# (the last by a hash of the name) are not learned.
+TRAIN_ROWS = 20_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 BLOCK = 256
@@ -77,7 +83,8 @@ class LanguageModel:
 def fit(texts: list[str], labels: list[str], landmarks_per_lang: int = LANDMARKS_PER_LANG, ridge: float = RIDGE) -> LanguageModel | None:
     """Fit on a bounded sample; None if it is empty.
 
-    The first ``landmarks_per_lang`` rows of each label are the landmarks.
+    The first ``landmarks_per_lang`` rows of each label are the landmarks,
+    fewer where there are so many labels that LANDMARKS would be exceeded.
     """
     grams = [ngrams(t) for t in texts]
     use = [i for i, g in enumerate(grams) if len(g)]
@@ -85,8 +92,9 @@ def fit(texts: list[str], labels: list[str], landmarks_per_lang: int = LANDMARKS
     if not grams:
         return None
     langs = sorted(set(labels))
-    y = np.array([[1.0 if v == lang else 0.0 for lang in langs] for v in labels])
-    marks = [i for lang in langs for i in [j for j, v in enumerate(labels) if v == lang][:landmarks_per_lang]]
+    number = {lang: k for k, lang in enumerate(langs)}
+    label = np.array([number[v] for v in labels])
+    marks = _landmarks(label, len(langs), landmarks_per_lang)
     vocab = np.unique(np.concatenate([grams[i] for i in marks]))
     presence = np.zeros((len(vocab), len(marks)), dtype=np.float32)
     for k, i in enumerate(marks):
@@ -97,62 +105,81 @@ def fit(texts: list[str], labels: list[str], landmarks_per_lang: int = LANDMARKS
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2), up to a rotation
-    phi = model.kernel(grams).astype(float) @ root
-    mean_phi, mean_y = phi.mean(axis=0), y.mean(axis=0)
-    centred = phi - mean_phi
-    weights = np.linalg.solve(centred.T @ centred + ridge * len(phi) * np.eye(phi.shape[1]), centred.T @ (y - mean_y))
+    # a row's features are used for sums only; a label's column of ones and zeros is never written out
+    n, width = len(grams), root.shape[1]
+    phi = np.concatenate([model.kernel(grams[i : i + BLOCK]).astype(float) @ root for i in range(0, n, BLOCK)])
+    mean_phi, mean_y = phi.mean(axis=0), np.bincount(label, minlength=len(langs)) / n
+    phi -= mean_phi
+    by_label = np.zeros((len(langs), width))
+    np.add.at(by_label, label, phi)  # centred features times labels; the labels' means add nothing to centred columns
+    weights = np.linalg.solve(phi.T @ phi + ridge * n * np.eye(width), by_label.T)
     model.alpha = (root @ weights).astype(np.float32)
     model.bias = (mean_y - mean_phi @ weights).astype(np.float32)
     return model
 
 
+def _landmarks(label: np.ndarray, n_langs: int, per_lang: int) -> list[int]:
+    """The first rows of every language, LANDMARKS in all: of languages evenly spaced by name if there are more."""
+    per_lang = max(1, min(per_lang, LANDMARKS // n_langs))
+    order = np.argsort(label, kind="stable")
+    begin = np.searchsorted(label[order], np.arange(n_langs + 1))
+    used = np.unique(np.linspace(0, n_langs - 1, min(n_langs, LANDMARKS)).astype(int))
+    return [int(i) for k in used for i in order[begin[k] : min(begin[k + 1], begin[k] + per_lang)]]
+
+
 def training_sample(docs: DataFrame, text_col: str, label_col: str, key: Column, per_label: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_label`` labelled rows of each label, chosen by a hash of ``key``.
+    """At most ``per_label`` labelled rows of each label, chosen by a hash of ``key``, TRAIN_ROWS in all.
 
     Counts per label thin the rows by hash first, so the ranking never
     gathers a label's rows in one task, whatever the table's size.  A label
     whose rows are all longer than TRAIN_MAX_CHARS gives its shortest ones.
+    Labels are counted in a table; the driver sees their number and the
+    chosen rows only.
     """
     label, text = F.col(f"`{label_col}`"), F.col(f"`{text_col}`").cast("string")
     # null or blank text holds no n-grams of a language
     every = docs.filter(label.isNotNull() & text.rlike(r"\p{L}")).select(
         label.cast("string").alias("label"), text.alias("text"), F.xxhash64(key).alias("h"), F.length(text).alias("chars")
     )
-    rows = every.filter(F.col("chars") <= TRAIN_MAX_CHARS)
-    found = {r["label"]: r["n"] for r in every.groupBy("label").agg(F.count_if(F.col("chars") <= TRAIN_MAX_CHARS).alias("n")).collect()}
-    if not found:
+    counted = every.groupBy("label").agg(F.count_if(F.col("chars") <= TRAIN_MAX_CHARS).alias("n"))
+    counts = written(counted.groupBy(F.xxhash64("label").alias("code")).agg(F.sum("n").alias("n")), "labels")
+    n_labels = counts.count()
+    if not n_labels:
         return []
-    counts = {value: n for value, n in found.items() if n}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, 3 * per_label / n)
-        keep = keep | ((F.col("label") == value) & (F.pmod("h", F.lit(1_000_003)) <= int(share * 1_000_003)))
+    per_label = max(1, min(per_label, TRAIN_ROWS // n_labels))
+    # two numbers a label, of TRAIN_ROWS labels at most
+    chosen = F.broadcast(counts.orderBy("code").limit(TRAIN_ROWS) if n_labels > TRAIN_ROWS else counts)
+    coded = every.withColumn("code", F.xxhash64("label"))
+    rows = coded.filter(F.col("chars") <= TRAIN_MAX_CHARS).join(chosen, "code")
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_label) / F.col("n"))
+    keep = F.pmod("h", F.lit(1_000_003)) <= F.floor(share * 1_000_003)
     ranked = rows.filter(keep).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "text")))
     picked = ranked.filter(F.col("k") <= per_label).orderBy("label", "k").select("text", "label").collect()
     sample = [(r["text"], r["label"]) for r in picked]
-    return sample + _long_rows(every, [value for value, n in found.items() if not n], per_label)
+    if counts.filter("n = 0").limit(1).count():
+        sample += _long_rows(coded.join(chosen.filter("n = 0"), "code"), per_label)
+    return sample
 
 
-def _long_rows(rows: DataFrame, labels: list[str], per_label: int) -> list[tuple[str, str]]:
-    """The shortest distinct texts of ``labels``, of ``per_label * TRAIN_MAX_CHARS`` characters in all for each.
+def _long_rows(rows: DataFrame, per_label: int) -> list[tuple[str, str]]:
+    """The shortest distinct texts of the labels in ``rows``, of ``per_label * TRAIN_MAX_CHARS`` characters in all for each.
 
     A label's shortest text is always taken (cut to that bound if it is
     longer).  Ranking reads lengths and hashes of texts only.
     """
-    if not labels:
-        return []
     bound = per_label * TRAIN_MAX_CHARS
-    rows = rows.filter(F.col("label").isin(labels)).select("label", "text", "chars", F.xxhash64("text").alias("hash"))
-    order = Window.partitionBy("label").orderBy("chars", "hash")
-    ranked = rows.select("label", "chars", "hash").distinct().withColumn("k", F.row_number().over(order))
+    rows = rows.select("code", "label", "text", "chars", F.xxhash64("text").alias("hash"))
+    order = Window.partitionBy("code").orderBy("chars", "hash")
+    ranked = rows.select("code", "chars", "hash").distinct().withColumn("k", F.row_number().over(order))
     taken, total = [], {}
-    for r in ranked.filter(F.col("k") <= per_label).orderBy("label", "k").collect():
-        total[r["label"]] = total.get(r["label"], 0) + r["chars"]
-        if r["k"] == 1 or total[r["label"]] <= bound:
-            taken.append((r["label"], r["chars"], r["hash"]))
-    chosen = F.broadcast(rows.sparkSession.createDataFrame(taken, "label string, chars int, hash long"))
-    texts = rows.join(chosen, ["label", "chars", "hash"]).groupBy("label", "chars", "hash").agg(F.min(F.substring("text", 1, bound)).alias("text"))
-    return [(r["text"], r["label"]) for r in texts.orderBy("label", "chars", "hash").collect()]
+    for r in ranked.filter(F.col("k") <= per_label).orderBy("code", "k").collect():
+        total[r["code"]] = total.get(r["code"], 0) + r["chars"]
+        if r["k"] == 1 or total[r["code"]] <= bound:
+            taken.append((r["code"], r["chars"], r["hash"]))
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(taken, "code long, chars int, hash long"))
+    keys = ["label", "chars", "hash"]
+    texts = rows.join(chosen, ["code", "chars", "hash"]).groupBy(keys).agg(F.min(F.substring("text", 1, bound)).alias("text"))
+    return [(r["text"], r["label"]) for r in texts.orderBy(keys).collect()]
 
 
 def _predictor(model: LanguageModel | None):
@@ -183,7 +210,7 @@ def identify(
     """Predict the language of every whole text; adds ``lang_pred`` and ``score``.
 
     The model learns from text and label of at most TRAIN_PER_LANG rows of
-    each label where ``train`` holds (chosen by a hash of ``key``, by default
+    each label, TRAIN_ROWS in all, where ``train`` holds (chosen by a hash of ``key``, by default
     the text; the shortest of a label whose rows all have more than
     TRAIN_MAX_CHARS characters).  Only the text is an input of a prediction.
 

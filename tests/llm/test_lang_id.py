@@ -88,3 +88,51 @@ def test_label_with_long_rows_only_is_learned(spark, monkeypatch):
     assert by["fr"] == [huge[0][1][:2000]]
     got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(df, F.lit(True), key=F.col("doc_id")).collect()}
     assert got[100] == got[401] == "de" and got[300] == got[402] == "fr" and got[0] == "en"
+
+
+def test_fit_equals_plain_ridge_regression():
+    words = {"a": "red green blue sky", "b": "rot blau himmel und", "c": "rouge vert bleu ciel"}
+    rows = [(f"{words[v].split()[i % 4]} {words[v].split()[(i * 7 + 1) % 4]} {i}", v) for i in range(45) for v in words]
+    model = lang_id.fit([t for t, _ in rows], [v for _, v in rows], landmarks_per_lang=6)
+
+    def grams(t):
+        x = t.lower().encode()
+        return {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+    def kernel(s, t):
+        return len(grams(s) & grams(t)) / np.sqrt(len(grams(s)) * len(grams(t)))
+
+    marks = [t for v in "abc" for t in [t for t, w in rows if w == v][:6]]
+    k_mm = np.array([[kernel(s, t) for t in marks] for s in marks])
+    values, vectors = np.linalg.eigh(k_mm)
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = np.array([[kernel(s, t) for t in marks] for s, _ in rows]) @ root
+    y = np.array([[float(v == w) for w in "abc"] for _, v in rows])
+    x = phi - phi.mean(axis=0)
+    w = np.linalg.solve(x.T @ x + lang_id.RIDGE * len(x) * np.eye(x.shape[1]), x.T @ (y - y.mean(axis=0)))
+    want = np.clip(x @ w + y.mean(axis=0), 0, 1)
+    assert np.allclose(model.scores([lang_id.ngrams(t) for t, _ in rows]), want, atol=1e-3)
+
+
+def test_five_thousand_labels(spark):
+    label = F.concat(F.lit("lang"), F.col("n"))
+    own = F.concat_ws(" ", *[F.sha2(F.concat(label, F.lit(str(k))).cast("binary"), 256) for k in range(3)])
+    df = spark.range(15_000).select("id", (F.col("id") % 5000).cast("string").alias("n"))
+    df = df.select(F.col("id").alias("doc_id"), F.concat_ws(" ", own, F.lit("text"), "id").alias("text"), label.alias("lang"))
+    sample = lang_id.training_sample(df, "text", "lang", F.col("doc_id"))
+    assert len({v for _, v in sample}) == 5000 and len(sample) <= lang_id.TRAIN_ROWS
+    model = lang_id.fit([t for t, _ in sample], [v for _, v in sample])
+    assert len(model.langs) == 5000 and model.presence.shape[1] <= lang_id.LANDMARKS
+    out = lang_id.identify(df, F.col("doc_id") < 10_000, key=F.col("doc_id")).filter("doc_id >= 10000")
+    right = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.9
+
+
+def test_more_labels_than_rows_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "TRAIN_ROWS", 40)
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id") % 100).alias("lang"))
+    sample = lang_id.training_sample(df, "text", "lang", F.col("doc_id"))
+    assert len(sample) == 40 and len({v for _, v in sample}) == 40
+    assert sample == lang_id.training_sample(df.repartition(5), "text", "lang", F.col("doc_id"))
+    assert lang_id.identify(df, F.lit(True)).count() == 300
