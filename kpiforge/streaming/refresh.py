@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from kpiforge.operators.partitioning import parts_by_size
 from kpiforge.plans.tables import OrderTables
 from kpiforge.plans.views import build_views
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA
@@ -72,14 +72,10 @@ def start_refresh(
     stream = reader.parquet(inbox)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        # checked and written: persist so the micro-batch is read once
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if batch.isEmpty():
-                return
-            batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
-        finally:
-            batch.unpersist()
+        # the check stops at the first row, so the micro-batch is read once and kept nowhere
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch_id}")
         refresh_tables(batch.sparkSession, store, out, as_of, epoch_id)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
@@ -93,12 +89,14 @@ def start_refresh(
 def refresh_once(
     spark: SparkSession, raw: DataFrame, as_of=None, files: int = 4, files_per_batch: int = 2
 ) -> DataFrame:
-    """Drop ``raw`` into a fresh inbox as several files, drain the stream in
-    ``availableNow`` mode (several micro-batches) and return the refreshed
-    category performance table."""
+    """Drop ``raw`` into a fresh inbox in ``files`` lots, ``files_per_batch``
+    lots a micro-batch, drain the stream in ``availableNow`` mode and return
+    the refreshed category performance table; a lot is as many files as its
+    size asks for, so all cores write them."""
     ensure_checkpoint_dir(spark)
     base = scratch_path(spark, "refresh")
-    raw.repartition(files).write.parquet(f"{base}/inbox")
+    parts = parts_by_size(raw, files)
+    raw.repartition(parts).write.parquet(f"{base}/inbox")
     query = start_refresh(
         spark,
         f"{base}/inbox",
@@ -107,7 +105,7 @@ def refresh_once(
         f"{base}/stream_checkpoint",
         as_of=as_of,
         available_now=True,
-        max_files_per_trigger=files_per_batch,
+        max_files_per_trigger=files_per_batch * (parts // files),
     )
     query.awaitTermination()
     if query.exception() is not None:

@@ -52,3 +52,11 @@ def test_arrivals_of_the_incremental_refresh_are_dealt_by_size(spark, monkeypatc
     assert files > 2 and a_trigger == files // 2  # two micro-batches, as with two files
     assert got["vw_regional_sales"].first()["total_orders"] == 393
     assert [r["epoch"] for r in got["refused_orders"].collect()] == [0, 1]
+
+
+def test_files_of_the_refresh_are_dealt_by_size(spark, monkeypatch):
+    asked = _seen(monkeypatch, refresh)
+    got = refresh.refresh_once(spark, _stored(spark), as_of=AS_OF)
+    files, a_trigger = asked[0]
+    assert files > 4 and a_trigger == files // 2  # two micro-batches
+    assert sum(r["total_orders"] for r in got.collect()) == 393
