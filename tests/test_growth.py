@@ -60,3 +60,19 @@ def test_files_of_the_refresh_are_dealt_by_size(spark, monkeypatch):
     files, a_trigger = asked[0]
     assert files > 4 and a_trigger == files // 2  # two micro-batches
     assert sum(r["total_orders"] for r in got.collect()) == 393
+
+
+def test_clean_orders_are_stored_where_they_are_read_twice(spark, monkeypatch):
+    ensure_checkpoint_dir(spark)
+    seen = {}
+    monkeypatch.setattr(entry.cells, "build_cells", lambda clean: seen.setdefault("cells", clean))
+    monkeypatch.setattr(entry.cells, "kpi_summary_from_cells", lambda built, spec: built)
+    monkeypatch.setattr(entry.cells, "report_regional_from_cells", lambda built, spec: built)
+    monkeypatch.setattr(entry, "export_csv", lambda clean, path: seen.setdefault("csv", clean) and path)
+    monkeypatch.setattr(entry, "read_exported_orders", lambda spark, path: seen["csv"])
+    for name in ("cells_kpi_filtered", "cells_report_regional", "export_csv_roundtrip"):
+        seen.clear()
+        entry.queries()[name](spark, entry.SF_SMOKE)
+        clean = next(iter(seen.values()))
+        assert "Join" not in clean._jdf.queryExecution().optimizedPlan().toString(), name
+        assert not [f for f in clean.inputFiles() if "lineitem" in f], name
