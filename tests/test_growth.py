@@ -76,3 +76,12 @@ def test_clean_orders_are_stored_where_they_are_read_twice(spark, monkeypatch):
         clean = next(iter(seen.values()))
         assert "Join" not in clean._jdf.queryExecution().optimizedPlan().toString(), name
         assert not [f for f in clean.inputFiles() if "lineitem" in f], name
+
+
+def test_the_widest_dimension_is_joined_last(spark, monkeypatch):
+    from kpiforge.sources import orders
+
+    monkeypatch.setattr(orders, "fits_broadcast_all", lambda frames: dict.fromkeys(frames, False))
+    plan = conform_test_tables(spark, entry.SF_SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "l_orderkey" in joins[0] and "l_partkey" in joins[1]  # the last one comes first
