@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiforge.operators.partitioning import parts_by_size
 from kpiforge.schema import CLEAN_REVENUE_TYPE, DEDUP_ORDER, ORDER_COLUMNS, ORDERS_SCHEMA, PREVIEW_LIMIT
 from kpiforge.session import ensure_checkpoint_dir, scratch_path
 
@@ -55,11 +56,12 @@ class Pages:
 
 
 def write_pages(orders: DataFrame, path: str | None = None, parts: int | None = None) -> Pages:
-    """Write ``orders`` in preview order as ``parts`` range partitions (by default the session's shuffle partitions)."""
+    """Write ``orders`` in preview order as range partitions: ``parts`` (by default the session's shuffle partitions),
+    each cut further as the size of the orders asks for, so the rows that one task sorts stay bounded."""
     spark = orders.sparkSession
     ensure_checkpoint_dir(spark)
     path = path or scratch_path(spark, "pages")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_by_size(orders, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     typed = orders.select(*ORDER_COLUMNS).withColumn("revenue", F.col("revenue").cast(CLEAN_REVENUE_TYPE))
     laid = typed.repartitionByRange(parts, *preview_order()).sortWithinPartitions(*preview_order())
     laid.withColumn(PART, F.spark_partition_id()).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")

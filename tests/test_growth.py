@@ -85,3 +85,12 @@ def test_the_widest_dimension_is_joined_last(spark, monkeypatch):
     plan = conform_test_tables(spark, entry.SF_SMOKE)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert "l_orderkey" in joins[0] and "l_partkey" in joins[1]  # the last one comes first
+
+
+def test_pages_are_cut_by_size(spark, monkeypatch):
+    stored = _stored(spark)
+    want = [tuple(r) for r in pages.write_pages(stored, parts=2).page(1, 100).collect()]
+    monkeypatch.setattr(partitioning.parts_by_size, "__defaults__", (2000,))
+    cut = pages.write_pages(stored, parts=2)
+    assert cut.index.count() > 2
+    assert [tuple(r) for r in cut.page(1, 100).collect()] == want
