@@ -8,8 +8,9 @@ in tests) and ``foreachBatch`` does, per micro-batch:
    (overwrite of that one folder, so a replayed epoch is idempotent);
 2. rebuild clean orders from the whole store and write them once to the
    shared checkpoint folder (lineage cut, deleted when the tables are there);
-3. write every view table to a new folder and switch one pointer to it, so
-   readers always see tables of one age.
+3. write a day-grain rollup of them, which six views are sums of, then every
+   view table to a new folder, and switch one pointer to it, so readers always
+   see tables of one age.
 
 The category median and keep-first de-duplication depend on all rows, so
 the tables are rebuilt from the store rather than patched; the results
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from kpiforge.operators.partitioning import parts_by_size
+from kpiforge.plans.rollup import order_rollup
 from kpiforge.plans.tables import OrderTables
 from kpiforge.plans.views import build_views
 from kpiforge.schema import ORDER_COLUMNS, ORDERS_SCHEMA
-from kpiforge.session import ensure_checkpoint_dir, scratch_path, scratch_scope
+from kpiforge.session import ensure_checkpoint_dir, materialize, scratch_path, scratch_scope
 from kpiforge.sinks.versions import delete_folder, published, read_pointer, replace_pointer, write_tables
 
 
@@ -47,7 +49,8 @@ def refresh_tables(spark: SparkSession, store: str, out: str, as_of=None, epoch:
     folder = f"{out}/v-{uuid.uuid4().hex}"
     with scratch_scope(spark):
         t = OrderTables(spark.read.parquet(store).select(*ORDER_COLUMNS), as_of=as_of, materialized=True)
-        paths = write_tables(build_views(t.raw, t.clean, as_of) | {"issue_log": t.issues}, folder)
+        rollup = materialize(order_rollup(t.clean), "rollup")
+        paths = write_tables(build_views(t.raw, t.clean, as_of, t.deduped, rollup) | {"issue_log": t.issues}, folder)
     replace_pointer(spark, f"{out}/current.json", {"epoch": epoch, "folder": folder, "before": before.get("folder"), "tables": paths})
     if before.get("before"):
         delete_folder(spark, before["before"])

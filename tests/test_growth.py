@@ -94,3 +94,25 @@ def test_pages_are_cut_by_size(spark, monkeypatch):
     cut = pages.write_pages(stored, parts=2)
     assert cut.index.count() > 2
     assert [tuple(r) for r in cut.page(1, 100).collect()] == want
+
+
+def test_views_of_a_refresh_come_from_one_pass(spark):
+    from kpiforge.plans.rollup import order_rollup
+    from kpiforge.plans.tables import OrderTables
+    from kpiforge.plans.views import build_views
+
+    rows = [
+        order("A", "2000-01-10 10:30:00"), order("A", "2000-01-11 00:00:00"), order(None), order(None, region=None, customer=None),
+        order("B", "2001-06-14 23:00:00", revenue=None), order("C", None, category=None, revenue=None), order("D", revenue="-3.00"),
+        order("E", "2001-06-16 01:00:00", status="Pending", quantity=None), order("F", status=None, payment=None, region="South", customer=None),
+    ]
+    t = OrderTables(orders_df(spark, rows), as_of=AS_OF, materialized=True)
+    rollup = materialize(order_rollup(t.clean), "rollup")
+    plain, summed = build_views(t.raw, t.clean, AS_OF), build_views(t.raw, t.clean, AS_OF, t.deduped, rollup)
+    assert plain.keys() == summed.keys()
+    for name in plain:
+        assert dict(plain[name].dtypes) == dict(summed[name].dtypes), name
+        cols = plain[name].columns
+        assert sorted(map(str, plain[name].select(cols).collect())) == sorted(map(str, summed[name].select(cols).collect())), name
+    read = [n for n, df in summed.items() if any("deduped_orders" in f for f in df.inputFiles())]
+    assert sorted(read) == ["vw_data_quality", "vw_regional_sales", "vw_top_orders"]
