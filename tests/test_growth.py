@@ -54,6 +54,52 @@ def test_arrivals_of_the_incremental_refresh_are_dealt_by_size(spark, monkeypatc
     assert [r["epoch"] for r in got["refused_orders"].collect()] == [0, 1]
 
 
+def test_shuffles_of_a_batch_are_dealt_by_its_rows_and_the_store(spark, monkeypatch):
+    monkeypatch.setattr(partitioning, "TASK_ROWS", 20)
+    parts, change = [], incremental.signed_change
+
+    def spy(old, new):
+        out = change(old, new)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(incremental, "signed_change", spy)
+    own, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    raw = _stored(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts would be joined
+    try:
+        got = incremental.refresh_incremental_once(spark, [raw], as_of=AS_OF)
+        assert got["vw_regional_sales"].first()["total_orders"] == 393
+        assert parts == [10, 20]  # 200 rows; 200 more, and as many in the store
+        assert spark.conf.get("spark.sql.shuffle.partitions") == own
+        incremental.apply_batch(raw, 0, scratch_path(spark, "direct"), as_of=AS_OF)  # in this session
+        assert parts[2:] == [20] and spark.conf.get("spark.sql.shuffle.partitions") == own
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_joins_of_what_arrives_are_dealt_by_size(spark, monkeypatch):
+    asked, into = [], incremental.shuffles_into
+    monkeypatch.setattr(partitioning.parts_by_size, "__defaults__", (1000,))
+    monkeypatch.setattr(incremental, "shuffles_into", lambda spark, parts: asked.append(parts) or into(spark, parts))
+    raw = _stored(spark)
+    incremental.refresh_incremental_once(spark, [raw], as_of=AS_OF)
+    assert asked[0] == partitioning.parts_by_size(raw, 2) > 8
+
+
+def test_a_session_gets_its_own_parts_back(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    with partitioning.shuffles_into(spark, 0):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    try:
+        with partitioning.shuffles_into(spark, partitioning.parts_by_rows(1_000_000_001)):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "2001"
+            raise KeyError
+    except KeyError:
+        pass
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
+
+
 def test_files_of_the_refresh_are_dealt_by_size(spark, monkeypatch):
     asked = _seen(monkeypatch, refresh)
     got = refresh.refresh_once(spark, _stored(spark), as_of=AS_OF)
