@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import time
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from kpiforge.operators import partitioning
 from kpiforge.plans import pages
-from kpiforge.session import ensure_checkpoint_dir, materialize, scratch_path
+from kpiforge.session import CLEANUP_CONF, ensure_checkpoint_dir, materialize, scratch_path, shuffles_dropped
 from kpiforge.sources.orders import conform_test_tables
 from kpiforge.streaming import incremental, refresh
 from tests.conftest import order, orders_df
@@ -162,3 +167,53 @@ def test_views_of_a_refresh_come_from_one_pass(spark):
         assert sorted(map(str, plain[name].select(cols).collect())) == sorted(map(str, summed[name].select(cols).collect())), name
     read = [n for n, df in summed.items() if any("deduped_orders" in f for f in df.inputFiles())]
     assert sorted(read) == ["vw_data_quality", "vw_regional_sales", "vw_top_orders"]
+
+
+def _shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in files.mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def _gone_soon(look) -> bool:
+    """Whether ``look()`` becomes empty; files are removed beside the job."""
+    for _ in range(50):
+        if not look():
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    spark.conf.unset(CLEANUP_CONF)
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")), "sums")
+    assert _gone_soon(lambda: _shuffle_files(spark) - before)
+    assert out.agg(F.sum("n")).first()[0] == 1000
+    assert spark.conf.get(CLEANUP_CONF, None) is None  # the session's own setting is back
+    with shuffles_dropped(spark):
+        with shuffles_dropped(spark):
+            pass
+        assert spark.conf.get(CLEANUP_CONF) == "true"
+
+
+def test_a_refresh_keeps_no_batch_twice(spark, monkeypatch):
+    """At the last steps of a batch neither the arrived rows, nor the shuffles, nor files of batches before are there."""
+    seen, write = [], incremental.write_tables
+
+    def spy(tables, folder):
+        state = os.path.dirname(os.path.dirname(folder))
+        inbox = os.path.join(os.path.dirname(os.path.dirname(state)), "inbox")
+        seen.append({*os.listdir(os.path.dirname(folder))} & {"arrived", "known", "copies", "change", "pairs", "seen"})
+        seen[-1] |= {"rdd"} if spark.sparkContext._jsc.sc().getPersistentRDDs().size() > kept else set()
+        files.append(len([f for f in os.listdir(inbox) if f.endswith(".parquet")]))
+        return write(tables, folder)
+
+    files, kept = [], spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    monkeypatch.setattr(incremental, "write_tables", spy)
+    before = _shuffle_files(spark)
+    raw = _stored(spark)
+    got = incremental.refresh_incremental_once(spark, [raw], files=3, as_of=AS_OF)
+    assert seen == [set()] * 3
+    assert files[-1] < files[0]  # those of the first batch are gone
+    assert _gone_soon(lambda: _shuffle_files(spark) - before)
+    assert got["refused_orders"].agg(F.sum("raw_rows")).first()[0] == raw.count()
