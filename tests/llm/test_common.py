@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kpiforge.llm import common
+from kpiforge.llm.common import likely_in
 from tests.llm import helpers
 
 
@@ -35,3 +37,12 @@ def test_added_names_get_out_of_the_way(spark):
     df = spark.createDataFrame([(1, 2)], "Score int, score_ int")
     out = common.unboxed(common.boxed(df), df.columns, add={"score": common.F.lit(5)})
     assert out.columns == ["Score", "score_", "score__"]
+
+
+def test_likely_rows_hold_all_that_are_wanted(spark):
+    rows = spark.range(20_000).withColumn("id", F.when(F.col("id") > 5, F.col("id"))).select("id", F.lit("t").alias("text"))
+    wanted = spark.createDataFrame([(7,), (19_999,), (40_000,), (None,)], "least long")
+    found = [r["id"] for r in likely_in(rows, "id", wanted, "least").collect()]
+    assert found.count(None) == 6 and {7, 19_999} <= set(found)
+    assert len(found) <= 8 + 3  # hardly any other
+    assert likely_in(rows, "id", wanted.limit(0), "least").count() == 0
